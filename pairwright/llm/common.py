@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,6 +62,11 @@ def map_chunks(
     return df.mapInArrow(run, schema)
 
 
+def extend(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with the fields of a DDL string after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -84,7 +89,3 @@ def labelled_sample(
     )
     rows = docs.select(F.col(id_col).alias("sample_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), "sample_id")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_chunks, remainder, texts_of
+from .common import extend, labelled_sample, map_chunks, remainder, texts_of
 
 MAX_TRAIN = 6000
 THRESHOLD = 0.3
@@ -169,7 +169,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 def score_quality(docs: DataFrame, model: Discriminant, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and quality_score."""
     fields = [docs.schema[c] for c in keep]
-    schema = docs.select(*keep).schema.add("quality_score", "double")
+    schema = extend(docs.select(*keep).schema, "quality_score double")
 
     def make():
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:

@@ -34,6 +34,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import digest, read_model
+
+    return digest(_read(spark, sf_dir, "documents"), read_model())
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify_quality
 
@@ -43,6 +55,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op7_sharding": op7_sharding,
+    "op3_simhash": op3_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality": op10_quality,
 }
 
