@@ -89,3 +89,22 @@ def labelled_sample(
     )
     rows = docs.select(F.col(id_col).alias("sample_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), "sample_id")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2) -> np.ndarray:
+    """Coefficients (the last one is the offset) by Newton's method; ``y`` may be shares."""
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    weight = np.ones(len(x)) if weight is None else weight
+    w = np.zeros(a.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        slope = a.T @ (weight * (y - p)) - ridge * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), slope)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))

@@ -46,6 +46,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "documents"), read_model())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify_toxicity
+
+    return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify_quality
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op3_simhash": op3_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
