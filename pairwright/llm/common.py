@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,16 +16,23 @@ from pyspark.sql.types import StructType
 CHUNK_BYTES = 4 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(df: DataFrame) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where neither that setting nor a context-level folder exists (local
     tests) a temporary folder is set.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pairwright-checkpoint-"))
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairwright-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder."""
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 
@@ -108,3 +116,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
 
 def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back by the columns that are needed."""
+    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

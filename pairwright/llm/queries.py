@@ -52,6 +52,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_report
+
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -78,6 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
@@ -89,6 +96,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # lines by word sets; pairs that share one of their rarest words, compared on all words
+    "op2_line_dedup": r"""
+WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (
+  SELECT doc_id, i - 1 AS line_no,
+         list_sort(list_distinct(list_filter(string_split_regex(ls[i], '[\x09\x0B-\x0D ]+'), lambda x: x <> ''))) AS w
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut)),
+node AS (
+  SELECT row_number() OVER (ORDER BY min(struct_pack(d := doc_id, l := line_no))) AS id, w,
+         min(struct_pack(d := doc_id, l := line_no)) AS first
+  FROM line WHERE len(w) > 0 GROUP BY w),
+freq AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM line) GROUP BY word),
+ranked AS (
+  SELECT id, size, word, row_number() OVER (PARTITION BY id ORDER BY freq.n, word) AS place
+  FROM (SELECT id, len(w) AS size, unnest(w) AS word FROM node) JOIN freq USING (word)),
+head AS (SELECT * FROM ranked WHERE place <= size - (size * 4 + 4) // 5 + 1),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM head a JOIN head b USING (word)
+         WHERE a.id < b.id AND a.size * 5 >= b.size * 4 AND b.size * 5 >= a.size * 4),
+near AS (
+  SELECT DISTINCT b FROM pair JOIN node x ON x.id = pair.a JOIN node y ON y.id = pair.b
+  WHERE len(list_intersect(x.w, y.w)) * 9 >= (len(x.w) + len(y.w)) * 4),
+gone AS (
+  SELECT line.doc_id, line_no, struct_pack(d := line.doc_id, l := line_no) <> node.first AS exact
+  FROM line JOIN node USING (w) LEFT JOIN near ON near.b = node.id
+  WHERE struct_pack(d := line.doc_id, l := line_no) <> node.first OR near.b IS NOT NULL),
+sums AS (
+  SELECT doc_id, count(*) FILTER (exact) AS e, count(*) FILTER (NOT exact) AS n,
+         string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS numbers
+  FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(e, 0) AS BIGINT) AS n_exact,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_near, CAST(len(ls) - coalesce(e, 0) - coalesce(n, 0) AS BIGINT) AS n_kept,
+       sha256(coalesce(numbers, '')) AS removed_sha256
+FROM cut LEFT JOIN sums USING (doc_id)
+""",
     # words, windows and hits by brute force: every document word position against every window of that length
     "op5_decontamination": r"""
 WITH item AS (
