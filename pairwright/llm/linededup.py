@@ -11,7 +11,7 @@ words themselves.
 Rarity comes from word counts in ``2**BUCKET_BITS`` hash buckets, a table of fixed size
 that goes into the plan; it orders words only, so sharing a bucket costs speed,
 never a match. Equal sets are one node with its first line. A word in the prefix
-of more than ``HOT`` nodes pairs each of them with its first node only; just those
+of many nodes (about ``HOT`` or more) pairs each of them with its first node only; just those
 that this doesn't settle are joined in full. Which texts a verification reads is
 narrowed by a bitmap of fixed size before the exact join.
 
@@ -26,10 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, written
+from .common import checkpoint, release, written
 
 BUCKET_BITS = 18
 HOT = 64
+SAMPLED = 4
 BITMAP_BITS = 23
 #: Smallest set that can match a different one: 4 of 5 words.
 LEAST = 4
@@ -130,29 +131,54 @@ def _sides(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos")])
 
 
-def _near(nodes: DataFrame, docs: DataFrame, order: Column, hot: int) -> DataFrame:
-    """Nodes (column b) with an earlier node of the similarity."""
-    rows = _places(nodes)
-    counts = rows.groupBy("word").agg(F.count("*").alias("held"), F.min("id").alias("first"))
-    heavy = checkpoint(counts.where(F.col("held") > hot))
-    normal = rows.join(heavy.select("word"), "word", "left_anti")
-    heavy_rows = checkpoint(rows.join(heavy.select("word", "first"), "word"))
-    # the first shared word of a pair bounds its overlap; later ones only count
-    reach = (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) * 9) >= (F.col("a_n") + F.col("b_n")) * 4
-    earlier = F.col("a_id") < F.col("b_id")
-    met = _sides(normal, "a").join(_sides(normal, "b"), "word").where(earlier & reach)
-    pairs = met.groupBy(F.col("b_id").alias("b"), F.col("a_id").alias("a")).agg(F.count("*").alias("shared"))
-    led = heavy_rows.where(F.col("first") < F.col("id")).groupBy(F.col("id").alias("b"), F.col("first").alias("a")).agg(
-        F.count("*").alias("shared")
+def _hot_words(nodes: DataFrame, hot: int) -> DataFrame:
+    """Words that stand in the prefixes of about ``hot`` nodes or more, from every ``SAMPLED``-th node.
+
+    This only chooses how a word's nodes are compared; either way finds all matches.
+    """
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    return checkpoint(
+        _places(some).groupBy("word").agg(F.count("*").alias("held")).where(F.col("held") * SAMPLED > hot).select("word")
     )
-    pairs = checkpoint(pairs.unionAll(led).groupBy("b", "a").agg(F.sum("shared").alias("shared")))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    settled = checkpoint(_verified(best, docs, order))
+
+
+def _reach() -> Column:
+    """The first shared word of a pair bounds its overlap; a is earlier than b."""
+    left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    return (F.col("a_id") < F.col("b_id")) & (left * 9 >= (F.col("a_n") + F.col("b_n")) * 4)
+
+
+def _candidates(nodes: DataFrame, heavy: DataFrame, heavy_rows: DataFrame) -> DataFrame:
+    """Pairs (b, a) with the number of shared prefix words: all pairs of a normal word, first node only of a hot one."""
+    normal = _places(nodes).join(heavy, "word", "left_anti")
+    met = _sides(normal, "a").join(_sides(normal, "b"), "word").where(_reach())
+    first = heavy_rows.groupBy("word").agg(F.min("id").alias("a"))
+    led = heavy_rows.join(first, "word").where(F.col("a") < F.col("id")).select(F.col("id").alias("b"), "a")
+    pairs = met.select(F.col("b_id").alias("b"), F.col("a_id").alias("a")).unionAll(led)
+    return checkpoint(pairs.groupBy("b", "a").agg(F.count("*").alias("shared")))
+
+
+def _rest(pairs: DataFrame, best: DataFrame, settled: DataFrame, heavy_rows: DataFrame) -> DataFrame:
+    """Candidates of nodes that their best pair didn't settle, now with all pairs of hot words."""
     open_pairs = pairs.join(settled, "b", "left_anti").join(best, ["b", "a"], "left_anti").select("b", "a")
     late = heavy_rows.join(settled.select(F.col("b").alias("id")), "id", "left_anti")
-    hot_pairs = _sides(heavy_rows, "a").join(_sides(late, "b"), "word").where(earlier & reach)
-    more = checkpoint(open_pairs.unionAll(hot_pairs.select(F.col("b_id").alias("b"), F.col("a_id").alias("a"))).distinct())
-    return settled.unionAll(_verified(more, docs, order)).distinct()
+    hot_pairs = _sides(heavy_rows, "a").join(_sides(late, "b"), "word").where(_reach())
+    return checkpoint(open_pairs.unionAll(hot_pairs.select(F.col("b_id").alias("b"), F.col("a_id").alias("a"))).distinct())
+
+
+def _near(nodes: DataFrame, docs: DataFrame, order: Column, hot: int) -> DataFrame:
+    """Nodes (column b) with an earlier node of the similarity."""
+    heavy = _hot_words(nodes, hot)
+    heavy_rows = checkpoint(_places(nodes).join(heavy, "word", "left_semi"))
+    pairs = _candidates(nodes, heavy, heavy_rows)
+    release(docs)
+    best = checkpoint(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")))
+    settled = checkpoint(_verified(best, docs, order))
+    release(docs)
+    more = _rest(pairs, best, settled, heavy_rows)
+    late = checkpoint(_verified(more, docs, order))
+    release(docs)
+    return settled.unionAll(late).distinct()
 
 
 def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -175,6 +201,7 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
     order = _order(lines)
     nodes = written(lines.groupBy("k1", "k2", "n", "prefix").agg(F.min(order).alias("id")))
+    release(docs)
     near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "prefix"), docs, order, hot)
     marked = nodes.select("k1", "k2", "id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
     every = lines.select("doc_id", "line_no", "k1", "k2", order.alias("own")).join(marked, ["k1", "k2"])
