@@ -5,8 +5,9 @@ removed if an earlier line (by document id, then line number) has the same set,
 or one of Jaccard similarity ``SIMILARITY`` (0.8) or more. Lines without words are
 kept. Words are ordered by rarity over the whole corpus, so two lines that match
 share one of their first ``n - ceil(0.8 n) + 1`` words; positional and length
-filters drop pairs that cannot reach the overlap; pairs left are verified on the
-words themselves.
+filters drop pairs that cannot reach the overlap; so does a
+parity bitmap of the words, whose differing bits are at most the differing
+words; pairs left are verified on the words themselves.
 
 Rarity comes from word counts in ``2**BUCKET_BITS`` hash buckets, a table of fixed size
 that goes into the plan; it orders words only, so sharing a bucket costs speed,
@@ -26,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release, written
+from .common import release, written
 
 BUCKET_BITS = 18
-HOT = 64
+HOT = 40
 SAMPLED = 4
 BITMAP_BITS = 23
 #: Smallest set that can match a different one: 4 of 5 words.
@@ -48,8 +49,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _rarity_table(docs: DataFrame) -> bytes:
-    """For each hash bucket a class from 0 (rare) to 127 by the number of its words in the corpus."""
+def _constant(df: DataFrame, value: object, kind: str) -> Column:
+    """A value of fixed size as a scalar subquery; as a literal it would stand in every printed plan."""
+    return written(df.sparkSession.createDataFrame([(value,)], f"value {kind}")).scalar()
+
+
+def _rarity_table(docs: DataFrame) -> Column:
+    """For each hash bucket a class from 0 (rare) to 127 by the number of its words in the corpus, in the top byte of a long."""
     spark, size = docs.sparkSession, 1 << BUCKET_BITS
     bucket = F.xxhash64("word").bitwiseAND(F.lit(size - 1)).cast("int")
     counts = (
@@ -66,22 +72,30 @@ def _rarity_table(docs: DataFrame) -> bytes:
             F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("rank", F.lit(0)).alias("rank")))), lambda x: x["rank"]
         ).alias("ranks")
     )
-    return bytes(r for row in sorted(pieces.collect(), key=lambda row: row["piece"]) for r in row["ranks"])
+    ranks = [r << 56 for row in sorted(pieces.collect(), key=lambda row: row["piece"]) for r in row["ranks"]]
+    return _constant(docs, ranks, "array<bigint>")
+
 
+def _codes(line: Column, ranks: Column) -> Column:
+    """The line's distinct words as numbers, rarest first: rarity class, then 56 bits of the word's hash.
 
-def _codes(line: Column, table: bytes) -> Column:
-    """The line's distinct words as numbers, rarest first: rarity class, then 56 bits of the word's hash."""
-    ranks = F.lit(table)
+    ``ranks`` is named once, so that the optimizer puts the subquery in its place and no row carries it.
+    """
 
     def code(h: Column) -> Column:
-        place = h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int") + 1
-        rank = F.ascii(F.substring(ranks, place, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        rank = F.get(ranks, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
+        return rank.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
+def _parity(bits: Column, code: Column) -> Column:
+    """Flips one of 64 bits for each word. Two sets' bits differ in no more places than their words do."""
+    place = F.shiftright(code, 20).bitwiseAND(F.lit(63)).cast("int")
+    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+
 def _bitmap(ids: DataFrame) -> bytes:
     """A bit for each id's hash; fixed size."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
@@ -94,17 +108,17 @@ def _bitmap(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _may_hold(bitmap: bytes, id_col: str) -> Column:
+def _may_hold(bitmap: Column, id_col: str) -> Column:
     bit = F.pmod(F.xxhash64(id_col), F.lit(1 << BITMAP_BITS))
     place = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     """Those of the pairs (b, a) whose words have the similarity; column b, distinct."""
     ids = pairs.select(F.col("b").alias("id")).unionAll(pairs.select(F.col("a").alias("id")))
-    texts = _lines(docs).select(order.alias("id"), "line").where(_may_hold(_bitmap(ids), "id"))
+    texts = _lines(docs).select(order.alias("id"), "line").where(_may_hold(_constant(docs, _bitmap(ids), "binary"), "id"))
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     wa, wb = F.array_distinct(_words(F.col("line_a"))), F.array_distinct(_words(F.col("line_b")))
@@ -124,11 +138,11 @@ def _order(lines: DataFrame) -> Column:
 
 
 def _places(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "n", F.posexplode("prefix").alias("pos", "word"))
+    return nodes.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
 
 
 def _sides(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos")])
+    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "bits", "pos")])
 
 
 def _hot_words(nodes: DataFrame, hot: int) -> DataFrame:
@@ -137,15 +151,17 @@ def _hot_words(nodes: DataFrame, hot: int) -> DataFrame:
     This only chooses how a word's nodes are compared; either way finds all matches.
     """
     some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    return checkpoint(
+    return written(
         _places(some).groupBy("word").agg(F.count("*").alias("held")).where(F.col("held") * SAMPLED > hot).select("word")
     )
 
 
 def _reach() -> Column:
-    """The first shared word of a pair bounds its overlap; a is earlier than b."""
+    """a is earlier than b; the first shared word of a pair bounds its overlap, the bits its difference."""
+    both = F.col("a_n") + F.col("b_n")
     left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    return (F.col("a_id") < F.col("b_id")) & (left * 9 >= (F.col("a_n") + F.col("b_n")) * 4)
+    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    return (F.col("a_id") < F.col("b_id")) & (left * 9 >= both * 4) & (apart * 9 <= both)
 
 
 def _candidates(nodes: DataFrame, heavy: DataFrame, heavy_rows: DataFrame) -> DataFrame:
@@ -155,7 +171,7 @@ def _candidates(nodes: DataFrame, heavy: DataFrame, heavy_rows: DataFrame) -> Da
     first = heavy_rows.groupBy("word").agg(F.min("id").alias("a"))
     led = heavy_rows.join(first, "word").where(F.col("a") < F.col("id")).select(F.col("id").alias("b"), "a")
     pairs = met.select(F.col("b_id").alias("b"), F.col("a_id").alias("a")).unionAll(led)
-    return checkpoint(pairs.groupBy("b", "a").agg(F.count("*").alias("shared")))
+    return written(pairs.groupBy("b", "a").agg(F.count("*").alias("shared")))
 
 
 def _rest(pairs: DataFrame, best: DataFrame, settled: DataFrame, heavy_rows: DataFrame) -> DataFrame:
@@ -163,20 +179,20 @@ def _rest(pairs: DataFrame, best: DataFrame, settled: DataFrame, heavy_rows: Dat
     open_pairs = pairs.join(settled, "b", "left_anti").join(best, ["b", "a"], "left_anti").select("b", "a")
     late = heavy_rows.join(settled.select(F.col("b").alias("id")), "id", "left_anti")
     hot_pairs = _sides(heavy_rows, "a").join(_sides(late, "b"), "word").where(_reach())
-    return checkpoint(open_pairs.unionAll(hot_pairs.select(F.col("b_id").alias("b"), F.col("a_id").alias("a"))).distinct())
+    return written(open_pairs.unionAll(hot_pairs.select(F.col("b_id").alias("b"), F.col("a_id").alias("a"))).distinct())
 
 
 def _near(nodes: DataFrame, docs: DataFrame, order: Column, hot: int) -> DataFrame:
     """Nodes (column b) with an earlier node of the similarity."""
     heavy = _hot_words(nodes, hot)
-    heavy_rows = checkpoint(_places(nodes).join(heavy, "word", "left_semi"))
+    heavy_rows = written(_places(nodes).join(heavy, "word", "left_semi"))
     pairs = _candidates(nodes, heavy, heavy_rows)
     release(docs)
-    best = checkpoint(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")))
-    settled = checkpoint(_verified(best, docs, order))
+    best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")))
+    settled = written(_verified(best, docs, order))
     release(docs)
     more = _rest(pairs, best, settled, heavy_rows)
-    late = checkpoint(_verified(more, docs, order))
+    late = written(_verified(more, docs, order))
     release(docs)
     return settled.unionAll(late).distinct()
 
@@ -184,8 +200,8 @@ def _near(nodes: DataFrame, docs: DataFrame, order: Column, hot: int) -> DataFra
 def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line_no and exact (a repeat of the same set) of every removed line of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    table = _rarity_table(docs)
-    codes = _lines(docs).select("doc_id", "line_no", _codes(F.col("line"), table).alias("codes"))
+    codes = _lines(docs).select("doc_id", "line_no", "line", _rarity_table(docs).alias("ranks"))
+    codes = codes.select("doc_id", "line_no", _codes(F.col("line"), F.col("ranks")).alias("codes"))
     n = F.size("codes")
     lines = written(
         codes.where(n > 0).select(
@@ -194,15 +210,16 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
             n.alias("n"),
             F.xxhash64("codes").alias("k1"),
             F.xxhash64("codes", F.lit(1)).alias("k2"),
+            F.aggregate("codes", F.lit(0).cast("long"), _parity).alias("bits"),
             F.transform(
                 F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1), lambda c: F.hash(c)
             ).alias("prefix"),
         )
     )
     order = _order(lines)
-    nodes = written(lines.groupBy("k1", "k2", "n", "prefix").agg(F.min(order).alias("id")))
+    nodes = written(lines.groupBy("k1", "k2", "n", "bits", "prefix").agg(F.min(order).alias("id")))
     release(docs)
-    near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "prefix"), docs, order, hot)
+    near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "prefix"), docs, order, hot)
     marked = nodes.select("k1", "k2", "id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
     every = lines.select("doc_id", "line_no", "k1", "k2", order.alias("own")).join(marked, ["k1", "k2"])
     return every.where((F.col("own") != F.col("id")) | F.col("near")).select(
