@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pairwright.llm import pii
+
+from .messy import documents, empty_documents
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def slow(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    spans = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    spans += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    spans += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    spans += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+PIECES = ["@", "a", "b.", ".", "1", "25", "256", "+", "-", " ", "(", "_", "4111111111111111", "é", "1.2.3.4", "x@y.z", "\n", "0"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=16).map("".join))
+def test_base_patterns(text):
+    assert pii.base_spans(text) == slow(text)
+
+
+def test_long_runs_are_linear():
+    assert pii.base_spans("a" * 200_000 + "1" * 200_000 + ".") == []
+    assert pii.base_spans("9" * 100 + "@x.y")[0] == ("email", 0, 104)
+
+
+ROWS = [
+    (1, "write to jane.doe@example.com or 10.0.0.255, card 4111 1111 1111 1111, tel +1 (755) 555-9729."),
+    (2, "call me on phone (755) 555-0199 today"),
+    (3, "contact: john (at) example (dot) com please"),
+    (4, None),
+    (5, ""),
+    (6, "nothing here, look at this dot com. 12.5.1 and 300.1.1.1"),
+    (1, "write to jane.doe@example.com or 10.0.0.255, card 4111 1111 1111 1111, tel +1 (755) 555-9729."),
+    (None, "x@y.zz 😀 a@b.cd"),
+]
+
+
+def test_contract(spark):
+    got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, ROWS)).collect()}
+    for i, text in ROWS:
+        base = slow(text or "")
+        r = got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(filter(None, r.spans.split(",")))
+    assert got[6].spans == "" and got[None].n_email == 2
+
+
+def test_method_adds_loose_spans(spark):
+    rows = [(i, f"call phone (755) 555-{1000 + i} or mail a{i}@example.com, tel +1 (755) 555-{2000 + i}") for i in range(60)]
+    got = pii.find_personal_data(documents(spark, rows)).collect()
+    assert all(r.n_added == 1 and "phone:11:" in r.spans for r in got)
+
+
+def test_estimation_finds_reliable_labelers():
+    patterns = [("yy-", "0", 900), ("nn-", "0", 800), ("yn-", "0", 40), ("ny-", "0", 40), ("--y", "0", 5)]
+    posterior, true, false = pii.estimate(patterns)
+    assert posterior["yy-"] > 0.95 and posterior["nn-"] < 0.05 and true[0] > 0.8 > 0.2 > false[0]
+
+
+def test_empty(spark):
+    assert pii.find_personal_data(empty_documents(spark)).count() == 0
