@@ -9,7 +9,7 @@ library's threads. Parity is verified against the sentencepiece library.
 
 Between words nothing can merge if no piece holds the marker after another
 character; then texts are cut before each run of markers and a word's ids are
-computed once per task and reused. A cache of words is emptied when it reaches
+computed once per worker process and reused. A cache of words is emptied when it reaches
 ``CACHE_WORDS`` entries, so memory stays bounded.
 
 Edge cases: null and empty texts have no ids and decode to the empty string;
@@ -23,7 +23,6 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from .common import extend, map_chunks, texts_of
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 JOINED = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -166,11 +165,12 @@ class Codec:
         self.model = Model.parse(data)
         self.tokenizer = build(self.model)
         self.apart = self.model.words_are_apart
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.cut = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
         kinds = [k for _, _, k in self.model.pieces]
         self.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else -1
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, _, k in self.model.pieces]
+        self.text_of = [str(i).encode() for i in range(len(raw))]
         self.width = np.array([len(x) for x in raw], dtype=np.int64)
         space = (MARKER.encode(), b" ") if self.model.escape_whitespaces else (b"", b"")
         self.plain = [
@@ -206,9 +206,11 @@ class Codec:
                 continue
             ends = np.cumsum([len(w.encode()) for w in group])
             at = [0, *np.searchsorted(np.cumsum(self.width[row]), ends, side="right").tolist()]
+            data = row.astype(np.int32).tobytes()
             for word, i, j in zip(group, at, at[1:]):
-                self.cache[word] = ids[i:j]
-        self.cache.update(zip(alone, self._raw(alone)))
+                self.cache[word] = data[4 * i : 4 * j]
+        for word, ids in zip(alone, self._raw(alone)):
+            self.cache[word] = np.array(ids, dtype=np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         marked = [self.marked(t) for t in texts]
@@ -221,7 +223,7 @@ class Codec:
         if fresh:
             self._fresh(list(fresh))
         get = self.cache.__getitem__
-        return [np.array(list(chain.from_iterable(map(get, ws))), dtype=np.int32) for ws in split]
+        return [np.frombuffer(b"".join(map(get, ws)), dtype=np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, as the sentencepiece library gives it."""
@@ -229,6 +231,18 @@ class Codec:
         return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
 
 
+_CODECS: dict[bytes, Codec] = {}
+
+
+def codec_of(data: bytes) -> Codec:
+    """One codec for all tasks of a worker process, so that words seen before stay known."""
+    key = hashlib.sha256(data).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data)
+    return _CODECS[key]
+
+
 def verify_parity(data: bytes, texts: list[str]) -> list[int]:
     """Positions of texts whose ids or decoded text differ from the sentencepiece library's."""
     import sentencepiece
@@ -265,7 +279,7 @@ def encode_decode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_i
     schema = extend(docs.select(*keep).schema, f"{names[0]} array<int>, {names[1]} string, {names[2]} boolean")
 
     def make():
-        codec = Codec(model)
+        codec = codec_of(model)
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t.decode("utf-8", errors="replace") for t in texts_of(piece)]
@@ -294,7 +308,7 @@ def digest(docs: DataFrame, model: bytes) -> DataFrame:
     schema = extend(docs.select("doc_id").schema, added)
 
     def make():
-        codec = Codec(model)
+        codec = codec_of(model)
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             raw = texts_of(piece)
@@ -304,7 +318,7 @@ def digest(docs: DataFrame, model: bytes) -> DataFrame:
                 [
                     piece.column("doc_id"),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(b",".join(map(codec.text_of.__getitem__, x.tolist()))).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
                     pa.array([a == b for a, b in zip(raw, decoded)], pa.bool_()),
                 ],
