@@ -161,8 +161,9 @@ def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[
     if kind == "email":
         ends_in = re.split(r"[^A-Za-z0-9]+", span.lower())
         gazetteer = ends_in[-1] in DOMAINS
-        shape = len(ends_in) >= 3 and len(ends_in[-1]) in (2, 3, 4, 5, 6)
         marked = "@" in span or any(c in span for c in "([{")
+        # plain words around "at" and "dot" are prose unless something says that an address follows
+        shape = len(ends_in) >= 3 and len(ends_in[-1]) in (2, 3, 4, 5, 6) and (marked or named)
     elif kind == "ip":
         gazetteer = not span.startswith(("0.", "255."))
         shape = all(not (len(p) > 1 and p[0] == "0") for p in span.split("."))
@@ -180,7 +181,7 @@ def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[
     votes = (
         "y" if strict else "-",
         "y" if gazetteer else "n",
-        "y" if named else "-",
+        "y" if named else "n" if kind == "email" and not marked else "-",
         "y" if shape else "n",
         "n" if against or glued else "-",
         "y" if marked else "n",
@@ -231,7 +232,7 @@ def train(counts: list[tuple[str, str, str, int]]) -> tuple[dict[tuple[str, str]
         x = np.array([[float(v) for v in f.split(",")] for _, f, _ in own])
         x[:, 7:] /= 5.0
         weight = np.array([float(n) for _, _, n in own])
-        w = fit_logistic(x, np.array([posterior[v] for v, _, _ in own]), weight * min(1.0, 1e6 / weight.sum()), 1.0)
+        w = fit_logistic(x, np.array([posterior[v] for v, _, _ in own]), weight * min(1.0, 1e6 / weight.sum()), 0.02)
         for (_, features, _), score in zip(own, logistic(x, w)):
             scores[kind, features] = float(score)
     return scores, reliability
