@@ -57,15 +57,28 @@ def segment_turns(
     )
 
 
-def pack(rows: DataFrame, order: list[str], tokens: str, width: int) -> DataFrame:
-    """Concatenates token arrays in order and cuts them into rows of ``width``; an incomplete last row is dropped.
+ROWS_PER_RANGE = 100_000
+MOST_RANGES = 4096
 
-    Offsets come from one running sum over rows (not tokens), so only array
-    lengths pass through the ordered step.
+
+def pack(rows: DataFrame, order: str, tokens: str, width: int) -> DataFrame:
+    """Concatenates token arrays by a numeric order column and cuts them into rows of ``width``; an incomplete last row is dropped.
+
+    Offsets come from running sums in two steps: within ranges of the order
+    column, and over the sums of the ranges (``MOST_RANGES`` of them at most), so
+    no single task sees all rows.
     """
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.select(*order, F.size(tokens).alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-    placed = rows.join(sizes.drop("_n"), order).select("_at", F.posexplode(tokens).alias("_i", "_token"))
+    low, high, total = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    ranges = max(1, min(MOST_RANGES, -(-total // ROWS_PER_RANGE)))
+    span = (((high - low) if total else 0) + 1) / ranges
+    sizes = rows.select(order, F.size(tokens).alias("_n")).withColumn("_range", F.floor((F.col(order) - F.lit(low)) / span))
+    upto = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    sums = sizes.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    placed = sizes.join(sums, "_range").select(order, (F.col("_in") + F.col("_base")).alias("_at"))
+    placed = rows.join(placed, order).select("_at", F.posexplode(tokens).alias("_i", "_token"))
     placed = placed.withColumn("_place", F.col("_at") + F.col("_i"))
     return (
         placed.groupBy(F.floor(F.col("_place") / width).cast("long").alias("row_no"))

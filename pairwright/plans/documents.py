@@ -313,7 +313,7 @@ FROM c QUALIFY (conv_id + turn) % 5 = 0
 
 def token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", tx.words("text").alias("w"))
-    packed = segments.pack(rows, ["item_id"], "w", 64)
+    packed = segments.pack(rows, "item_id", "w", 64)
     return packed.select("row_no", F.array_join("tokens", " ").alias("line"))
 
 

@@ -66,10 +66,18 @@ def test_budget_segments(spark):
 
 def test_packing_drops_the_remainder(spark):
     rows = spark.createDataFrame([(1, [1, 2, 3]), (0, [9]), (2, [4, 5])], "i int, t array<int>")
-    got = sorted((r.row_no, r.tokens) for r in segments.pack(rows, ["i"], "t", 4).collect())
+    got = sorted((r.row_no, r.tokens) for r in segments.pack(rows, "i", "t", 4).collect())
     assert got == [(0, [9, 1, 2, 3])]
 
 
+def test_packing_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(segments, "ROWS_PER_RANGE", 3)
+    rows = spark.createDataFrame([(i * 7, list(range(i % 4))) for i in range(20)], "i int, t array<int>")
+    flat = [x for i in range(20) for x in range(i % 4)]
+    got = sorted((r.row_no, r.tokens) for r in segments.pack(rows, "i", "t", 4).collect())
+    assert got == [(k, flat[4 * k : 4 * k + 4]) for k in range(len(flat) // 4)]
+
+
 def test_leak_candidates_lose_nothing(spark):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefgh ") for _ in range(900))
