@@ -5,8 +5,8 @@ removed if an earlier line (by document id, then line number) has the same set,
 or one of Jaccard similarity ``SIMILARITY`` (0.8) or more. Lines without words are
 kept. Words are ordered by rarity over the whole corpus, so two lines that match
 share one of their first ``n - ceil(0.8 n) + 1`` words; positional and length
-filters drop pairs that cannot reach the overlap; so does a
-parity bitmap of the words, whose differing bits are at most the differing
+filters drop pairs that cannot reach the overlap; so do two
+parity bitmaps of the words, whose differing bits are at most the differing
 words; pairs left are verified on the words themselves.
 
 Rarity comes from word counts in ``2**BUCKET_BITS`` hash buckets, a table of fixed size
@@ -90,10 +90,14 @@ def _codes(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
-def _parity(bits: Column, code: Column) -> Column:
-    """Flips one of 64 bits for each word. Two sets' bits differ in no more places than their words do."""
-    place = F.shiftright(code, 20).bitwiseAND(F.lit(63)).cast("int")
-    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+def _parity(shift: int):
+    """Fold that flips one of 64 bits for each word. Two sets' bits differ in no more places than their words do."""
+
+    def flip(bits: Column, code: Column) -> Column:
+        place = F.shiftright(code, shift).bitwiseAND(F.lit(63)).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+    return flip
 
 
 def _bitmap(ids: DataFrame) -> bytes:
@@ -122,8 +126,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     wa, wb = F.array_distinct(_words(F.col("line_a"))), F.array_distinct(_words(F.col("line_b")))
-    common = F.size(F.array_intersect(wa, wb))
-    return both.where(common * 9 >= (F.size(wa) + F.size(wb)) * 4).select("b").distinct()
+    # one struct, so that neither set is made again for each use
+    sets = F.array(F.struct(wa.alias("a"), wb.alias("b")))
+    enough = F.exists(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) * 9 >= (F.size(s["a"]) + F.size(s["b"])) * 4)
+    return both.where(enough).select("b").distinct()
 
 
 def _order(lines: DataFrame) -> Column:
@@ -138,11 +144,11 @@ def _order(lines: DataFrame) -> Column:
 
 
 def _places(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    return nodes.select("id", "n", "bits", "more_bits", F.posexplode("prefix").alias("pos", "word"))
 
 
 def _sides(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "bits", "pos")])
+    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "bits", "more_bits", "pos")])
 
 
 def _hot_words(nodes: DataFrame, hot: int) -> DataFrame:
@@ -160,16 +166,20 @@ def _reach() -> Column:
     """a is earlier than b; the first shared word of a pair bounds its overlap, the bits its difference."""
     both = F.col("a_n") + F.col("b_n")
     left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    return (F.col("a_id") < F.col("b_id")) & (left * 9 >= both * 4) & (apart * 9 <= both)
+    near = (F.col("a_id") < F.col("b_id")) & (left * 9 >= both * 4)
+    for bits in ("bits", "more_bits"):
+        near = near & (F.bit_count(F.col(f"a_{bits}").bitwiseXOR(F.col(f"b_{bits}"))) * 9 <= both)
+    return near
 
 
 def _candidates(nodes: DataFrame, heavy: DataFrame, heavy_rows: DataFrame) -> DataFrame:
     """Pairs (b, a) with the number of shared prefix words: all pairs of a normal word, first node only of a hot one."""
     normal = _places(nodes).join(heavy, "word", "left_anti")
     met = _sides(normal, "a").join(_sides(normal, "b"), "word").where(_reach())
-    first = heavy_rows.groupBy("word").agg(F.min("id").alias("a"))
-    led = heavy_rows.join(first, "word").where(F.col("a") < F.col("id")).select(F.col("id").alias("b"), "a")
+    columns = ("id", "n", "bits", "more_bits", "pos")
+    first = heavy_rows.groupBy("word").agg(F.min_by(F.struct(*columns), "id").alias("a"))
+    first = first.select("word", *[F.col(f"a.{c}").alias(f"a_{c}") for c in columns])
+    led = _sides(heavy_rows, "b").join(first, "word").where(_reach()).select(F.col("b_id").alias("b"), F.col("a_id").alias("a"))
     pairs = met.select(F.col("b_id").alias("b"), F.col("a_id").alias("a")).unionAll(led)
     return written(pairs.groupBy("b", "a").agg(F.count("*").alias("shared")))
 
@@ -210,16 +220,17 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
             n.alias("n"),
             F.xxhash64("codes").alias("k1"),
             F.xxhash64("codes", F.lit(1)).alias("k2"),
-            F.aggregate("codes", F.lit(0).cast("long"), _parity).alias("bits"),
+            F.aggregate("codes", F.lit(0).cast("long"), _parity(20)).alias("bits"),
+            F.aggregate("codes", F.lit(0).cast("long"), _parity(30)).alias("more_bits"),
             F.transform(
                 F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1), lambda c: F.hash(c)
             ).alias("prefix"),
         )
     )
     order = _order(lines)
-    nodes = written(lines.groupBy("k1", "k2", "n", "bits", "prefix").agg(F.min(order).alias("id")))
+    nodes = written(lines.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min(order).alias("id")))
     release(docs)
-    near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "prefix"), docs, order, hot)
+    near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "more_bits", "prefix"), docs, order, hot)
     marked = nodes.select("k1", "k2", "id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
     every = lines.select("doc_id", "line_no", "k1", "k2", order.alias("own")).join(marked, ["k1", "k2"])
     return every.where((F.col("own") != F.col("id")) | F.col("near")).select(

@@ -32,7 +32,7 @@ from .common import extend, map_chunks, texts_of
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 JOINED = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
