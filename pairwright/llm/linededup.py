@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import release, written
 
 BUCKET_BITS = 18
-HOT = 40
+HOT = 256
 SAMPLED = 4
 BITMAP_BITS = 23
 #: Smallest set that can match a different one: 4 of 5 words.
