@@ -11,12 +11,14 @@ UTF-8.
 
 Sizes: counts cover the whole corpus and are summed by shuffles. What goes to
 executors is bounded: all contexts of up to two bytes (2**24 entries at most)
-and the ``MAX_CONTEXTS`` most frequent contexts of three bytes and more; where a
-longer context is not among them, its last bytes code the symbol. A context is
-at most as frequent as its own endings and shorter ones go first, so endings of
-a context in the trie are in it too. For the baseline the ``HEAD_WORDS`` most
-frequent words travel as a table, all other words are joined by word, so no key
-of that join is hot.
+and the ``MAX_CONTEXTS`` most frequent contexts of three bytes and more. A context
+is at most as frequent as its own endings and shorter ones go first, so endings of
+a context in the trie are in it too. Positions whose ``ORDER`` bytes are not among
+them go, with the counts of the whole corpus, to a partition by the last three
+bytes of their context, where the trie of all its longer contexts is built; so
+every position is scored as by the full trie. For the baseline the ``HEAD_WORDS``
+most frequent words travel as a table, all other words are joined by word, so no
+key of that join is hot.
 
 Edge cases: a null or empty text has the end token and end symbol only; without
 training documents every byte has probability 1/256 and N = V = 0; long texts
@@ -36,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, extend, map_chunks, remainder, slices, texts_of
+from .common import checkpoint, extend, map_chunks, remainder, slices, texts_of, written
 
 START, END = 0xFE, 0xFF
 ORDER = 5
 MAX_CONTEXTS = 1 << 17
 HEAD_WORDS = 1 << 18
 HOLD = 1 << 22
+#: Counted grams, and rows in all, from which a part of a partition is scored.
+PART_GRAMS, PART_ROWS = 1 << 16, 1 << 19
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +122,7 @@ class Trie:
     count: np.ndarray
     pair: np.ndarray  # two bytes of context and a symbol, sorted
     pair_count: np.ndarray
+    whole: bool = True  # no counted context was left out
 
     def prepare(self) -> Trie:
         def sums(values: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -169,9 +174,8 @@ class Trie:
         self.left = under - sums(self.node, nodes, below)
         return self
 
-    def position_scores(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's last symbol after the bytes before it."""
-        symbol = (code & np.uint64(0xFF)).astype(np.int64)
+    def longest(self, code: np.ndarray) -> np.ndarray:
+        """Node of the longest context of each code, or -1."""
         node = self.slot[((code >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.int64)].astype(np.int64)
         for k in range(4, ORDER + 1):
             on = np.flatnonzero(node >= 0) if k == 4 else on[deeper]
@@ -179,6 +183,12 @@ class Trie:
             child = self.child[node[on] * self.width + self.column[before]]
             deeper = child >= 0
             node[on[deeper]] = child[deeper]
+        return node
+
+    def position_scores(self, code: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each code's last symbol after the bytes before it."""
+        symbol = (code & np.uint64(0xFF)).astype(np.int64)
+        node = self.longest(code) if node is None else node
         value = np.full(len(code), np.nan)
         known = np.flatnonzero(node >= 0)
         count = self.table[node[known] * self.width + self.column[symbol[known]]]
@@ -233,25 +243,39 @@ class Trie:
         step(self.zero[symbol], rest, self.kinds0 - self.kinds1[c1], always)
         return np.where(todo, score - np.log10(max(256 - self.kinds0, 1)), score)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text's positions that this trie can code; codes of the others, and how many a text has."""
         symbols, start = stream(texts)
+        place = np.flatnonzero(symbols[ORDER:] != START) + ORDER
+        code = grams(symbols)
+        node = self.longest(code)
+        held = np.append(self.order == ORDER, False)[node] | self.whole
         value = np.zeros(len(symbols))
-        value[np.flatnonzero(symbols[ORDER:] != START) + ORDER] = self.position_scores(grams(symbols))
-        return np.add.reduceat(value, start)
+        value[place[held]] = self.position_scores(code[held], node[held])
+        text = np.searchsorted(start, place[~held], side="right") - 1
+        return np.add.reduceat(value, start), code[~held], np.bincount(text, minlength=len(texts))
 
 
 _PREPARED: dict[str, Trie] = {}
 
 
-def train_trie(training: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """Count the corpus and bring the bounded trie to the driver."""
+def count_corpus(training: DataFrame) -> dict[int, DataFrame]:
+    """Counts (gram, n) of contexts of two to ``ORDER`` bytes with the symbol after them."""
     rows = training.select("text").mapInArrow(_count_grams, "gram bigint, n bigint")
     counted = {ORDER: checkpoint(rows.groupBy("gram").agg(F.sum("n").alias("n")))}
     for k in range(ORDER - 1, 1, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
         counted[k] = counted[k + 1].groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n"))
         counted[k] = checkpoint(counted[k]) if k == ORDER - 1 else counted[k]
+    return counted
+
+
+def train_trie(training: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
+    """Count the corpus and bring the bounded trie to the driver."""
+    return bounded_trie(count_corpus(training), max_contexts)
+
+
+def bounded_trie(counted: dict[int, DataFrame], max_contexts: int) -> Trie:
     ranked = None
     for k in range(3, ORDER + 1):
         context = F.shiftright("gram", 8).alias("context")
@@ -265,7 +289,7 @@ def train_trie(training: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
     for k in range(3, ORDER + 1):
         own = np.flatnonzero(order == k)
         # max_contexts rows of one number at most
-        kept = training.sparkSession.createDataFrame(pa.table({"context": context[own]}))
+        kept = counted[k].sparkSession.createDataFrame(pa.table({"context": context[own]}))
         found = counted[k].join(F.broadcast(kept), F.shiftright("gram", 8) == F.col("context"), "left_semi").toArrow()
         gram = np.asarray(found["gram"]).astype(np.int64)
         nodes.append(own[np.searchsorted(context[own], gram >> 8)] if len(own) else own)
@@ -275,10 +299,79 @@ def train_trie(training: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
     pair, pair_count = np.asarray(pairs["gram"]).astype(np.int64), np.asarray(pairs["n"])
     by = np.argsort(pair)
     return Trie(
-        order, context, np.concatenate(nodes), np.concatenate(symbols), np.concatenate(counts), pair[by], pair_count[by]
+        order,
+        context,
+        np.concatenate(nodes),
+        np.concatenate(symbols),
+        np.concatenate(counts),
+        pair[by],
+        pair_count[by],
+        len(context) < max_contexts,
     )
 
 
+def trie_of(gram: np.ndarray, n: np.ndarray, pair: np.ndarray, pair_count: np.ndarray) -> Trie:
+    """All contexts of three bytes and more of these grams; ``pair`` is of the whole corpus."""
+    orders, contexts, nodes, symbols, counts, size = [], [], [], [], [], 0
+    for k in range(3, ORDER + 1):
+        keys, sums = _summed([(gram & ((1 << 8 * (k + 1)) - 1), n)])
+        context, node = np.unique(keys >> 8, return_inverse=True)
+        orders.append(np.full(len(context), k))
+        contexts.append(context)
+        nodes.append(node + size)
+        symbols.append(keys & 0xFF)
+        counts.append(sums)
+        size += len(context)
+    return Trie(*(np.concatenate(x) for x in (orders, contexts, nodes, symbols, counts)), pair, pair_count)
+
+
+def _score_part(part: np.ndarray, last: bool, pairs: tuple) -> tuple[pa.RecordBatch | None, np.ndarray]:
+    """Scores by row of what is asked in ``part`` (columns ending, row, gram, n; in order), and the rows still needed."""
+    ending, row, gram, n = part
+    ready = len(row) if last or row[-1] >= 0 else int(np.searchsorted(ending, ending[-1]))
+    asked = row[:ready] >= 0
+    out = None
+    if asked.any():
+        trie = trie_of(gram[:ready][~asked], n[:ready][~asked], *pairs).prepare()
+        value = trie.position_scores(gram[:ready][asked].astype(np.uint64))
+        rows, inverse = np.unique(row[:ready][asked], return_inverse=True)
+        sums = np.bincount(inverse, weights=value)
+        out = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], ["_row", "value"])
+    # counts of the last ending serve the rows that are still to come
+    return out, part[:, (ending == ending[-1]) & (row < 0)] if ready == len(row) else part[:, ready:]
+
+
+def far_scores(asked: DataFrame, counted: DataFrame, trie: Trie) -> DataFrame:
+    """``_row`` and value (several a row) of the grams in ``asked`` (_row, gram) by the full trie of the counts.
+
+    Contexts with the same last three bytes meet in one partition, and with them all that a
+    score needs beside the pairs. Rows stream through in order, counts first.
+    """
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("ending")
+    known = counted.select(ending, F.lit(-1).cast("bigint").alias("_row"), "gram", "n")
+    rows = known.unionAll(asked.select(ending, "_row", "gram", F.lit(0).cast("bigint").alias("n")))
+    shared = asked.sparkSession.sparkContext.broadcast((trie.pair, trie.pair_count))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PREPARED.clear()
+        held, known, new = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
+                known, new = known + int((held[-1][1] < 0).sum()), new + batch.num_rows
+            if known >= PART_GRAMS or new >= PART_ROWS:
+                out, rest = _score_part(np.concatenate(held, axis=1), False, shared.value)
+                held, known, new = [rest], 0, 0
+                if out is not None:
+                    yield out
+        if held and (part := np.concatenate(held, axis=1)).size:
+            out, _ = _score_part(part, True, shared.value)
+            if out is not None:
+                yield out
+
+    return rows.repartition("ending").sortWithinPartitions("ending", "_row").mapInArrow(run, "_row bigint, value double")
+
+
 def score_texts(
     docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
@@ -286,7 +379,8 @@ def score_texts(
     spark = docs.sparkSession
     training = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ends = training.count()
-    trie = train_trie(training)
+    counted = count_corpus(training)
+    trie = bounded_trie(counted, MAX_CONTEXTS)
     words = training.mapInArrow(_count_words, "word binary, n bigint")
     words = checkpoint(words.groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -336,44 +430,52 @@ def score_texts(
                 base.append(score)
                 sizes.append(len(tail) - before)
             offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            scores, far, far_sizes = model.scores(texts)
+            far_offsets = pa.array(np.cumsum([0, *far_sizes]), pa.int32())
             columns = [
                 piece.column("_row"),
                 *(piece.column(c) for c in kept_names),
                 pa.array(n_tokens, pa.int64()),
                 pa.array(n_known, pa.int64()),
                 pa.array(base, pa.float64()),
-                pa.array(model.scores(texts), pa.float64()),
+                pa.array(scores, pa.float64()),
                 pa.ListArray.from_arrays(offsets, pa.array(tail, pa.binary())),
                 pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                pa.ListArray.from_arrays(far_offsets, pa.array(far.astype(np.int64))),
             ]
-            names = ["_row", *kept_names, "n_tokens", "n_known", "base", "score", "tail", "times"]
+            names = ["_row", *kept_names, "n_tokens", "n_known", "base", "score", "tail", "times", "far"]
             return pa.RecordBatch.from_arrays(columns, names)
 
         return work
 
-    added = "n_tokens bigint, n_known bigint, base double, score double, tail array<binary>, times array<bigint>"
+    added = "n_tokens bigint, n_known bigint, base double, score double, tail array<binary>, times array<bigint>, far array<bigint>"
     schema = extend(rows.select("_row", *kept_names).schema, added)
-    scored = checkpoint(map_chunks(rows, make, schema, "_text"))
+    scored = written(map_chunks(rows, make, schema, "_text"))
     rare = scored.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select(
         "_row", F.col("x.tail").alias("word"), F.col("x.times").alias("times")
     )
     count = F.coalesce(F.col("n"), F.lit(0))
-    found = (
-        rare.join(words, "word", "left")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(float(bottom)))).alias("more"),
-        )
+    found = rare.join(words, "word", "left").select(
+        "_row",
+        F.when(count > 0, F.col("times")).otherwise(0).alias("known"),
+        (F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(float(bottom)))).alias("share"),
+        F.lit(0.0).alias("value"),
     )
-    out = scored.drop("tail", "times").join(found, "_row", "left")
+    if not trie.whole:
+        asked = scored.select("_row", F.explode("far").alias("gram"))
+        far = far_scores(asked, counted[ORDER], trie)
+        found = found.unionAll(far.select("_row", F.lit(0).cast("bigint"), F.lit(0.0), "value"))
+    found = found.groupBy("_row").agg(
+        F.sum("known").alias("more_known"), F.sum("share").alias("more"), F.sum("value").alias("far_score")
+    )
+    out = scored.drop("tail", "times", "far").join(found, "_row", "left")
     return out.select(
         *[F.col(f"_keep_{f.name}").alias(f.name) for f in fields],
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )
 
 

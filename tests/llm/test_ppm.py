@@ -1,4 +1,6 @@
 import math
+import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +79,27 @@ def test_bounded_trie_still_codes_everything(spark, monkeypatch):
     assert 0.98 < total <= 1.0 + 1e-6
 
 
+def test_contexts_beyond_the_bound_score_as_the_full_trie(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices(string.printable[:70], k=200))) for i in range(400)]
+    rows += [(i, rows[i % 7][1][:90] + "#" + rows[i % 11][1][50:]) for i in range(400, 440)]
+    coded, training = split(rows)
+    contexts = {(b"\xfe" * K + t)[k - o : k] for t in training for o in (3, 4, 5) for k in range(K, len(t) + K + 1)}
+    assert len(contexts) > ppm.MAX_CONTEXTS
+    want = dict(zip([i for i, _ in coded], slow([t for _, t in coded], training)))
+    got = {r.doc_id: r.score for r in ppm.score_documents(documents(spark, rows)).collect()}
+    assert got == {i: pytest.approx(v, rel=1e-5) for i, v in want.items()}
+
+
+def test_partitions_scored_in_small_parts(spark, monkeypatch):
+    rows = [(i, prose(i, 30)) for i in range(1, 30)]
+    whole = {r.doc_id: r.score for r in ppm.score_documents(documents(spark, rows)).collect()}
+    for name, value in (("MAX_CONTEXTS", 40), ("PART_GRAMS", 5), ("PART_ROWS", 9)):
+        monkeypatch.setattr(ppm, name, value)
+    for r in ppm.score_documents(documents(spark, rows)).collect():
+        assert r.score == pytest.approx(whole[r.doc_id], rel=1e-5)
+
+
 def test_empty(spark):
     assert ppm.score_documents(empty_documents(spark)).count() == 0
     alone = ppm.score_texts(spark.createDataFrame([(1, "ab")], "doc_id bigint, text string"), documents(spark, [])).first()
