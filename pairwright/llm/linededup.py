@@ -100,20 +100,25 @@ def _parity(shift: int):
     return flip
 
 
+def _bit(id_col: str) -> Column:
+    """Number of an id's bit, from 1 as Spark's bitmap functions count."""
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << BITMAP_BITS)) + 1
+
+
 def _bitmap(ids: DataFrame) -> bytes:
     """A bit for each id's hash; fixed size."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
+    bit = _bit("id")
     parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
     )
-    size, out = 4096, bytearray((1 << BITMAP_BITS) // 8 + 4096)
+    size, out = 4096, bytearray((1 << BITMAP_BITS) // 8)
     for row in parts.collect():
         out[(row["part"] - 1) * size : row["part"] * size] = row["bits"]
     return bytes(out)
 
 
 def _may_hold(bitmap: Column, id_col: str) -> Column:
-    bit = F.pmod(F.xxhash64(id_col), F.lit(1 << BITMAP_BITS))
+    bit = _bit(id_col)
     place = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1

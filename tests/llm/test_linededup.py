@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairwright.llm import linededup
 
@@ -74,3 +75,12 @@ def test_ids_too_large_for_one_number(spark):
 def test_no_python_in_the_plan(spark):
     plan = linededup.line_report(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_bitmap_holds_the_first_and_last_bit(spark):
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << linededup.BITMAP_BITS))
+    for value in (0, 1, (1 << linededup.BITMAP_BITS) - 1):
+        ids = spark.createDataFrame(spark.range(1 << 27).where(bit == value).limit(1).collect())
+        bitmap = linededup._bitmap(ids)
+        assert len(bitmap) == (1 << linededup.BITMAP_BITS) // 8 and sum(b.bit_count() for b in bitmap) == 1
+        assert ids.where(linededup._may_hold(linededup._constant(ids, bitmap, "binary"), "id")).count() == 1
