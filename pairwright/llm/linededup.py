@@ -17,8 +17,9 @@ that this doesn't settle are joined in full. Which texts a verification reads is
 narrowed by a bitmap of fixed size before the exact join.
 
 Edge cases: null and empty texts have one empty line, which stays; a null id
-sorts before all others; repeated rows are earlier and later copies of each other
-in no particular order, so one of them keeps its lines; lines of any length are
+sorts before all others; rows with the same id, null ids included, are told apart by
+a row number and are earlier and later than each other in no particular order, so one
+of repeated rows keeps its lines; lines of any length are
 compared whole; an empty table gives an empty result; columns of any name stay.
 """
 
@@ -46,7 +47,18 @@ def _words(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", "_row", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` that tells rows of the same id apart.
+
+    It is 0 where no id repeats; otherwise the table is written with it, as numbers of rows
+    may differ each time a plan runs.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
+        return docs.withColumn("_row", F.lit(0).cast("bigint"))
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def _constant(df: DataFrame, value: object, kind: str) -> Column:
@@ -138,14 +150,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
 
 
 def _order(lines: DataFrame) -> Column:
-    """Document id and line number as one number, a long where both fit."""
-    low, high, most = lines.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.max("line_no"), F.lit(0))).first()
-    bits = max(1, int(most).bit_length())
+    """Document id, row and line number as one number, a long where all fit."""
+    part, within = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    low, high, most, parts, rows = lines.agg(
+        F.min("doc_id"),
+        F.max("doc_id"),
+        *[F.coalesce(F.max(c), F.lit(0)) for c in (F.col("line_no"), part, within)],
+    ).first()
+    line_bits, row_bits = max(1, int(most).bit_length()), int(rows).bit_length()
+    copy_bits = int(parts).bit_length() + row_bits
     reach = max(abs(low or 0), abs(high or 0)) + 2
     doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit((low or 0) - 1).cast("decimal(20,0)"))
-    if reach << bits < 1 << 62:
-        return doc.cast("long") * F.lit(1 << bits) + F.col("line_no")
-    return (doc * F.lit(1 << bits).cast("decimal(18,0)") + F.col("line_no")).cast("decimal(38,0)")
+    copy = part * F.lit(1 << row_bits) + within
+    if reach << (copy_bits + line_bits) < 1 << 62:
+        return (doc.cast("long") * F.lit(1 << copy_bits) + copy) * F.lit(1 << line_bits) + F.col("line_no")
+    whole = doc * F.lit(1 << copy_bits).cast("decimal(18,0)") + copy
+    return (whole.cast("decimal(38,0)") * F.lit(1 << line_bits).cast("decimal(18,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
 def _places(nodes: DataFrame) -> DataFrame:
@@ -214,13 +234,19 @@ def _near(nodes: DataFrame, docs: DataFrame, order: Column, hot: int) -> DataFra
 
 def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line_no and exact (a repeat of the same set) of every removed line of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    codes = _lines(docs).select("doc_id", "line_no", "line", _rarity_table(docs).alias("ranks"))
-    codes = codes.select("doc_id", "line_no", _codes(F.col("line"), F.col("ranks")).alias("codes"))
+    return _removed(_keyed(docs.select("doc_id", "text")), hot).drop("_row")
+
+
+def _removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """As ``removed_lines``, with _row, for ``docs`` that have it."""
+    docs = docs.select("doc_id", "_row", "text")
+    codes = _lines(docs).select("doc_id", "_row", "line_no", "line", _rarity_table(docs).alias("ranks"))
+    codes = codes.select("doc_id", "_row", "line_no", _codes(F.col("line"), F.col("ranks")).alias("codes"))
     n = F.size("codes")
     lines = written(
         codes.where(n > 0).select(
             "doc_id",
+            "_row",
             "line_no",
             n.alias("n"),
             F.xxhash64("codes").alias("k1"),
@@ -237,21 +263,23 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     release(docs)
     near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "more_bits", "prefix"), docs, order, hot)
     marked = nodes.select("k1", "k2", "id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
-    every = lines.select("doc_id", "line_no", "k1", "k2", order.alias("own")).join(marked, ["k1", "k2"])
+    every = lines.select("doc_id", "_row", "line_no", "k1", "k2", order.alias("own")).join(marked, ["k1", "k2"])
     return every.where((F.col("own") != F.col("id")) | F.col("near")).select(
-        "doc_id", "line_no", (F.col("own") != F.col("id")).alias("exact")
+        "doc_id", "_row", "line_no", (F.col("own") != F.col("id")).alias("exact")
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_kept and removed_sha256 (removed line numbers, sorted, comma-joined)."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(
+    docs = _keyed(docs.select("doc_id", "text"))
+    gone = _removed(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("_row").alias("gone_row")).agg(
         F.count_if("exact").alias("n_exact"),
         F.count_if(~F.col("exact")).alias("n_near"),
         F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("numbers"),
     )
     n_lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long")
-    rows = docs.select("doc_id", n_lines.alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("_row") == F.col("gone_row"))
+    rows = docs.select("doc_id", "_row", n_lines.alias("n_lines")).join(gone, same, "left")
     zero = F.lit(0).cast("long")
     return rows.select(
         "doc_id",
@@ -265,14 +293,18 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without removed lines in ``text``. Every document stays, if only with an empty text; n_chars, if there, is recounted."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
+    names = docs.columns
+    docs = _keyed(docs)
+    gone = _removed(docs).groupBy(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"))
+    gone = gone.agg(F.collect_set("line_no").alias("_gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row"))
+    rows = docs.join(gone, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 __all__ = ["drop_lines", "line_report", "removed_lines"]

@@ -84,3 +84,19 @@ def test_bitmap_holds_the_first_and_last_bit(spark):
         bitmap = linededup._bitmap(ids)
         assert len(bitmap) == (1 << linededup.BITMAP_BITS) // 8 and sum(b.bit_count() for b in bitmap) == 1
         assert ids.where(linededup._may_hold(linededup._constant(ids, bitmap, "binary"), "id")).count() == 1
+
+
+def test_rows_of_the_same_id_are_told_apart(spark):
+    null = [(None, "x1 x2 x3\ny1 y2 y3"), (None, "y1 y2 y3\nz1 z2 z3")]
+    rows = [*texts(), *null, (2**61, "far a b c"), (2**61, "far a b c\nfar d e")]
+    docs = documents(spark, rows)
+    got = {}
+    for r in linededup.removed_lines(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.line_no, r.exact))
+    # rows stay in the order of the list here
+    assert {k: sorted(v) for k, v in got.items()} == lines_by_id(rows, brute(rows))
+    kept = [(r.doc_id, line) for r in linededup.drop_lines(docs).collect() for line in (r.text or "").split("\n")]
+    for line in ((12, rows[12][1]), (None, "x1 x2 x3"), (None, "y1 y2 y3"), (None, "z1 z2 z3"), (2**61, "far a b c"), (2**61, "far d e")):
+        assert kept.count(line) == 1
+    report = [r for r in linededup.line_report(docs).collect() if r.doc_id == 12]
+    assert sorted((r.n_exact, r.n_kept) for r in report) == [(0, 1), (1, 0)]
