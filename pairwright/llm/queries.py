@@ -21,8 +21,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
-    # the operator's n_near has no SQL counterpart; the query returns the columns that can be compared
-    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_near")
+    # proximity matches have no SQL counterpart; op5_proximity returns them
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_near", "near_items")
+
+
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    found = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_near", "near_items", "contaminated")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op5_proximity": op5_proximity,
     "op6_ppm": op6_ppm,
     "op7_sharding": op7_sharding,
     "op8_sentencepiece": op8_sentencepiece,
