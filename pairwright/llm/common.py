@@ -133,4 +133,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back by the columns that are needed."""
     path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that no plan still to run reads."""
+    for table in tables:
+        if path := getattr(table, "written_path", None):
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

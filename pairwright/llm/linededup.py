@@ -5,9 +5,9 @@ removed if an earlier line (by document id, then line number) has the same set,
 or one of Jaccard similarity ``SIMILARITY`` (0.8) or more. Lines without words are
 kept. Words are ordered by rarity over the whole corpus, so two lines that match
 share one of their first ``n - ceil(0.8 n) + 1`` words; positional and length
-filters drop pairs that cannot reach the overlap; so do two
-parity bitmaps of the words, whose differing bits are at most the differing
-words; pairs left are verified on the words themselves.
+filters drop pairs that cannot reach the overlap; so does a
+parity bitmap of the words (128 bits in two longs), whose differing bits are at most
+the differing words; pairs left are verified on the words themselves.
 
 Rarity comes from word counts in ``2**BUCKET_BITS`` hash buckets, a table of fixed size
 that goes into the plan; it orders words only, so sharing a bucket costs speed,
@@ -25,10 +25,12 @@ compared whole; an empty table gives an empty result; columns of any name stay.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import discard, release, written
 
 BUCKET_BITS = 18
 HOT = 256
@@ -47,18 +49,29 @@ def _words(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "_row", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select("doc", "row", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc``, a long in the order of doc_id, for ids that aren't whole numbers."""
+    ids = docs.where(F.col("in.doc_id").isNotNull()).select(F.col("in.doc_id").alias("id")).distinct().orderBy("id")
+    # partitions of a sorted table are in order, and so are these numbers
+    ids = written(ids.select("id", F.monotonically_increasing_id().alias("doc")))
+    return docs.join(ids, F.col("in.doc_id") == F.col("id"), "left").select("in", "text", "doc")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` that tells rows of the same id apart.
+    """The rows of ``docs`` as ``in`` (all their columns), with text, doc (the id as a long) and row.
 
-    It is 0 where no id repeats; otherwise the table is written with it, as numbers of rows
-    may differ each time a plan runs.
+    ``row`` tells rows of the same id apart. It is 0 where no id repeats; otherwise the table
+    is written with it, as numbers of rows may differ each time a plan runs.
     """
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
-        return docs.withColumn("_row", F.lit(0).cast("bigint"))
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = docs.select(F.struct("*").alias("in"), "text")
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = rows.withColumn("doc", F.col("in.doc_id").cast("long")) if whole else _numbered(rows)
+    if rows.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
+        return rows.withColumn("row", F.lit(0).cast("bigint"))
+    return written(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _constant(df: DataFrame, value: object, kind: str) -> Column:
@@ -95,19 +108,21 @@ def _codes(line: Column, ranks: Column) -> Column:
     """
 
     def code(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
+        # never null, so that arrays of codes are sorted as plain longs
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")), F.lit(0).cast("long"))
         return rank.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
-def _parity(shift: int):
-    """Fold that flips one of 64 bits for each word. Two sets' bits differ in no more places than their words do."""
+def _parity(half: int):
+    """Fold that flips one of 128 bits for each word; this half of 64. Two sets' bits differ in no more places than their words do."""
 
     def flip(bits: Column, code: Column) -> Column:
-        place = F.shiftright(code, shift).bitwiseAND(F.lit(63)).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+        mine = (F.bitwise_not(code) if half else code).bitwiseAND(F.lit(1))
+        place = F.shiftright(code, 20).bitwiseAND(F.lit(63)).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", mine, place))
 
     return flip
 
@@ -136,36 +151,49 @@ def _may_hold(bitmap: Column, id_col: str) -> Column:
     return F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
     """Those of the pairs (b, a) whose words have the similarity; column b, distinct."""
     ids = pairs.select(F.col("b").alias("id")).unionAll(pairs.select(F.col("a").alias("id")))
-    texts = _lines(docs).select(order.alias("id"), "line").where(_may_hold(_constant(docs, _bitmap(ids), "binary"), "id"))
+    if order.line_bits is not None:  # texts without a line of these are not cut at all
+        rows = _constant(docs, _bitmap(ids.select(F.shiftright("id", order.line_bits).alias("id"))), "binary")
+        docs = docs.withColumn("row_id", order.row).where(_may_hold(rows, "row_id"))
+    texts = _lines(docs).select(order.line.alias("id"), "line").where(_may_hold(_constant(docs, _bitmap(ids), "binary"), "id"))
+    texts = written(texts)
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     wa, wb = F.array_distinct(_words(F.col("line_a"))), F.array_distinct(_words(F.col("line_b")))
     # one struct, so that neither set is made again for each use
     sets = F.array(F.struct(wa.alias("a"), wb.alias("b")))
     enough = F.exists(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) * 9 >= (F.size(s["a"]) + F.size(s["b"])) * 4)
-    return both.where(enough).select("b").distinct()
+    found = written(both.where(enough).select("b").distinct())
+    discard(texts)
+    return found
+
+
+@dataclass
+class Order:
+    """A row, and a row and line number, as one number each; ``line_bits`` is None where a long doesn't hold them."""
 
+    row: Column
+    line: Column
+    line_bits: int | None
 
-def _order(lines: DataFrame) -> Column:
-    """Document id, row and line number as one number, a long where all fit."""
-    part, within = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+
+def _order(lines: DataFrame) -> Order:
+    part, within = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     low, high, most, parts, rows = lines.agg(
-        F.min("doc_id"),
-        F.max("doc_id"),
-        *[F.coalesce(F.max(c), F.lit(0)) for c in (F.col("line_no"), part, within)],
+        F.min("doc"), F.max("doc"), *[F.coalesce(F.max(c), F.lit(0)) for c in (F.col("line_no"), part, within)]
     ).first()
     line_bits, row_bits = max(1, int(most).bit_length()), int(rows).bit_length()
     copy_bits = int(parts).bit_length() + row_bits
     reach = max(abs(low or 0), abs(high or 0)) + 2
-    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit((low or 0) - 1).cast("decimal(20,0)"))
+    doc = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit((low or 0) - 1).cast("decimal(20,0)"))
     copy = part * F.lit(1 << row_bits) + within
     if reach << (copy_bits + line_bits) < 1 << 62:
-        return (doc.cast("long") * F.lit(1 << copy_bits) + copy) * F.lit(1 << line_bits) + F.col("line_no")
-    whole = doc * F.lit(1 << copy_bits).cast("decimal(18,0)") + copy
-    return (whole.cast("decimal(38,0)") * F.lit(1 << line_bits).cast("decimal(18,0)") + F.col("line_no")).cast("decimal(38,0)")
+        row = doc.cast("long") * F.lit(1 << copy_bits) + copy
+        return Order(row, row * F.lit(1 << line_bits) + F.col("line_no"), line_bits)
+    row = (doc * F.lit(1 << copy_bits).cast("decimal(18,0)") + copy).cast("decimal(38,0)")
+    return Order(row, (row * F.lit(1 << line_bits).cast("decimal(18,0)") + F.col("line_no")).cast("decimal(38,0)"), None)
 
 
 def _places(nodes: DataFrame) -> DataFrame:
@@ -191,10 +219,8 @@ def _reach() -> Column:
     """a is earlier than b; the first shared word of a pair bounds its overlap, the bits its difference."""
     both = F.col("a_n") + F.col("b_n")
     left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    near = (F.col("a_id") < F.col("b_id")) & (left * 9 >= both * 4)
-    for bits in ("bits", "more_bits"):
-        near = near & (F.bit_count(F.col(f"a_{bits}").bitwiseXOR(F.col(f"b_{bits}"))) * 9 <= both)
-    return near
+    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) + F.bit_count(F.col("a_more_bits").bitwiseXOR(F.col("b_more_bits")))
+    return (F.col("a_id") < F.col("b_id")) & (left * 9 >= both * 4) & (apart * 9 <= both)
 
 
 def _candidates(nodes: DataFrame, heavy: DataFrame, heavy_rows: DataFrame) -> DataFrame:
@@ -217,69 +243,75 @@ def _rest(pairs: DataFrame, best: DataFrame, settled: DataFrame, heavy_rows: Dat
     return written(open_pairs.unionAll(hot_pairs.select(F.col("b_id").alias("b"), F.col("a_id").alias("a"))).distinct())
 
 
-def _near(nodes: DataFrame, docs: DataFrame, order: Column, hot: int) -> DataFrame:
+def _near(nodes: DataFrame, docs: DataFrame, order: Order, hot: int) -> DataFrame:
     """Nodes (column b) with an earlier node of the similarity."""
     heavy = _hot_words(nodes, hot)
     heavy_rows = written(_places(nodes).join(heavy, "word", "left_semi"))
     pairs = _candidates(nodes, heavy, heavy_rows)
     release(docs)
     best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")))
-    settled = written(_verified(best, docs, order))
-    release(docs)
+    settled = _verified(best, docs, order)
     more = _rest(pairs, best, settled, heavy_rows)
-    late = written(_verified(more, docs, order))
+    discard(heavy, heavy_rows, pairs, best)
+    release(docs)
+    late = _verified(more, docs, order)
+    discard(more)
     release(docs)
     return settled.unionAll(late).distinct()
 
 
 def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line_no and exact (a repeat of the same set) of every removed line of ``docs`` (doc_id, text)."""
-    return _removed(_keyed(docs.select("doc_id", "text")), hot).drop("_row")
+    docs = _keyed(docs.select("doc_id", "text"))
+    gone = _removed(docs, hot).select(F.col("doc").alias("gone"), F.col("row").alias("gone_row"), "line_no", "exact")
+    same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
+    return gone.join(docs, same).select("in.doc_id", "line_no", "exact")
 
 
 def _removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """As ``removed_lines``, with _row, for ``docs`` that have it."""
-    docs = docs.select("doc_id", "_row", "text")
-    codes = _lines(docs).select("doc_id", "_row", "line_no", "line", _rarity_table(docs).alias("ranks"))
-    codes = codes.select("doc_id", "_row", "line_no", _codes(F.col("line"), F.col("ranks")).alias("codes"))
+    """doc, row, line_no and exact of every removed line, for rows from ``_keyed``."""
+    docs = docs.select("doc", "row", "text")
+    codes = _lines(docs).select("doc", "row", "line_no", "line", _rarity_table(docs).alias("ranks"))
+    codes = codes.select("doc", "row", "line_no", _codes(F.col("line"), F.col("ranks")).alias("codes"))
     n = F.size("codes")
+    # lines without words are dropped after the write: a filter here would make every line's codes twice
     lines = written(
-        codes.where(n > 0).select(
-            "doc_id",
-            "_row",
+        codes.select(
+            "doc",
+            "row",
             "line_no",
             n.alias("n"),
             F.xxhash64("codes").alias("k1"),
             F.xxhash64("codes", F.lit(1)).alias("k2"),
-            F.aggregate("codes", F.lit(0).cast("long"), _parity(20)).alias("bits"),
-            F.aggregate("codes", F.lit(0).cast("long"), _parity(30)).alias("more_bits"),
+            F.aggregate("codes", F.lit(0).cast("long"), _parity(0)).alias("bits"),
+            F.aggregate("codes", F.lit(0).cast("long"), _parity(1)).alias("more_bits"),
             F.transform(
                 F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1), lambda c: F.hash(c)
             ).alias("prefix"),
         )
-    )
+    ).where("n > 0")
     order = _order(lines)
-    nodes = written(lines.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min(order).alias("id")))
+    nodes = written(lines.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min(order.line).alias("id")))
     release(docs)
     near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "more_bits", "prefix"), docs, order, hot)
     marked = nodes.select("k1", "k2", "id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
-    every = lines.select("doc_id", "_row", "line_no", "k1", "k2", order.alias("own")).join(marked, ["k1", "k2"])
+    every = lines.select("doc", "row", "line_no", "k1", "k2", order.line.alias("own")).join(marked, ["k1", "k2"])
     return every.where((F.col("own") != F.col("id")) | F.col("near")).select(
-        "doc_id", "_row", "line_no", (F.col("own") != F.col("id")).alias("exact")
+        "doc", "row", "line_no", (F.col("own") != F.col("id")).alias("exact")
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_kept and removed_sha256 (removed line numbers, sorted, comma-joined)."""
     docs = _keyed(docs.select("doc_id", "text"))
-    gone = _removed(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("_row").alias("gone_row")).agg(
+    gone = _removed(docs).groupBy(F.col("doc").alias("gone"), F.col("row").alias("gone_row")).agg(
         F.count_if("exact").alias("n_exact"),
         F.count_if(~F.col("exact")).alias("n_near"),
         F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("numbers"),
     )
     n_lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("_row") == F.col("gone_row"))
-    rows = docs.select("doc_id", "_row", n_lines.alias("n_lines")).join(gone, same, "left")
+    same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
+    rows = docs.select("in.doc_id", "doc", "row", n_lines.alias("n_lines")).join(gone, same, "left")
     zero = F.lit(0).cast("long")
     return rows.select(
         "doc_id",
@@ -293,18 +325,23 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without removed lines in ``text``. Every document stays, if only with an empty text; n_chars, if there, is recounted."""
-    names = docs.columns
+    names, kinds = docs.columns, docs.schema
     docs = _keyed(docs)
-    gone = _removed(docs).groupBy(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"))
-    gone = gone.agg(F.collect_set("line_no").alias("_gone"))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row"))
+    gone = _removed(docs).groupBy(F.col("doc").alias("gone"), F.col("row").alias("gone_row"))
+    gone = gone.agg(F.collect_set("line_no").alias("numbers"))
+    same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
     rows = docs.join(gone, same, "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = rows.withColumn("text", text)
+    lines = F.split("text", "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))
+    # one struct, so that neither array is made again for each line
+    parts = F.array(F.struct(lines.alias("lines"), numbers.alias("numbers")))
+    kept = F.transform(parts, lambda p: F.array_join(F.transform(p["numbers"], lambda i: F.get(p["lines"], i)), "\n"))
+    text = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(F.get(kept, F.lit(0)))
+    rows = rows.select("in", text.alias("text"))
+    out = {"text": F.col("text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        out["n_chars"] = F.char_length("text").cast(kinds["n_chars"].dataType)
+    return rows.select(*[out.get(c, F.col(f"in.`{c}`")).alias(c) for c in names])
 
 
 __all__ = ["drop_lines", "line_report", "removed_lines"]
