@@ -17,8 +17,8 @@ of blocks is searched on its own, which loses no link.
 Edge cases: null and empty texts have fingerprint zero and link like any other;
 texts of one to three words have one shingle; long texts are read whole in
 pieces; repeated rows share a component; a null id stays null and is never
-another row's component id; an empty table gives an empty result; extra columns
-are not read.
+another row's component id; rows that share an id are rows of their own, each with
+its fingerprint; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, extend, map_chunks, texts_of
+from .common import checkpoint, extend, map_chunks, texts_of, written
 from .components import components
 
 SHINGLE = 4
@@ -41,6 +41,8 @@ BUCKET = 4096
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PIECE = 1 << 16
+#: Keys under which a fingerprint's component is listed, so that many copies don't meet in one task.
+SALTS = 16
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -67,18 +69,18 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(majority.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id_col and fp (signed long)."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+def fingerprints(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``id_cols`` and fp (signed long)."""
+    rows = docs.select(*id_cols, F.col(text_col).alias("_text"))
 
     def make():
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             fps = [fingerprint(t) for t in texts_of(piece, "_text")]
-            return pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(fps, pa.int64())], [id_col, "fp"])
+            return pa.RecordBatch.from_arrays([*(piece.column(c) for c in id_cols), pa.array(fps, pa.int64())], [*id_cols, "fp"])
 
         return work
 
-    return map_chunks(rows, make, extend(rows.select(id_col).schema, "fp bigint"), "_text")
+    return map_chunks(rows, make, extend(rows.select(*id_cols).schema, "fp bigint"), "_text")
 
 
 def _variants(fp: str = "fp"):
@@ -200,7 +202,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     if distance >= 2 * len(SEGMENTS):
         raise ValueError(f"{len(SEGMENTS)} segments find distances under {2 * len(SEGMENTS)} only")
     heavy = _heavy_buckets(nodes, bucket)
-    rows = nodes.select("fp", F.explode(_variants()).alias("key")).join(heavy, "key", "left")
+    # the few rows of an aggregate become 64 each, so they are dealt to all tasks first
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.repartition(spread, "fp").select("fp", F.explode(_variants()).alias("key")).join(heavy, "key", "left")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     pairs = F.when(
         F.col("blocks").isNotNull(),
@@ -217,27 +221,41 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     )
 
 
-def simhash_components(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    marked = checkpoint(fingerprints(docs))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _marked(docs: DataFrame, id_cols: tuple[str, ...], least: str, distance: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``id_cols`` and fp of every row; and fp (as of_fp) with the smallest ``least`` of its component, as top."""
+    marked = checkpoint(fingerprints(docs, id_cols))
+    nodes = marked.groupBy("fp").agg(F.min(least).alias("least"))
     roots = components(links(nodes.select("fp"), distance, bucket))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    tops = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(tops, "root").select(F.col("fp").alias("linked_fp"), "component_id")
-    of = nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("of_fp"), F.coalesce("component_id", "least").alias("component_id")
-    )
-    return marked.join(of, marked["fp"] == F.col("of_fp")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    tops = linked.groupBy("root").agg(F.min("least").alias("top"))
+    linked = linked.join(tops, "root").select(F.col("fp").alias("linked_fp"), "top")
+    of = nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left")
+    return marked, of.select(F.col("fp").alias("of_fp"), F.coalesce("top", "least").alias("top"))
+
+
+def simhash_components(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    marked, of = _marked(docs.select("doc_id", "text"), ("doc_id",), "doc_id", distance, bucket)
+    # copies of one text share a fingerprint, so the join to the fingerprints' components is by a key that may be hot:
+    # each fingerprint has one row there, listed under SALTS keys of which a document takes one
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    spread = of.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = marked.withColumn("salt", salt)
+    return rows.join(spread, (rows["fp"] == spread["of_fp"]) & (rows["salt"] == spread["of_salt"])).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("top").alias("component_id")
     )
 
 
 def drop_near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one of the smallest id; rows without an id stay. Columns of ``docs``."""
-    groups = simhash_components(docs.where(F.col("doc_id").isNotNull()), distance)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first_id")).distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, F.col("doc_id") == F.col("_first_id"), "left_semi")
-    kept = kept.withColumn("_first_row", F.row_number().over(same)).where("_first_row = 1").drop("_first_row")
+    """One row of each component: that of the smallest id and, among rows that share it, the first of them; rows without an id
+    stay. Columns of ``docs``.
+
+    Rows are told apart by a number, as ids may repeat, so the numbered table is written once.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    rows = written(named.select(F.struct("*").alias("in"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")))
+    texts = rows.select(F.struct("id", "row").alias("key"), F.col("in.text").alias("text"))
+    marked, of = _marked(texts, ("key",), "key", distance, BUCKET)
+    first = of.select("top.id", "top.row").distinct()
+    kept = rows.join(first, ["id", "row"], "left_semi").select("in.*")
     return kept.unionAll(docs.where(F.col("doc_id").isNull()))

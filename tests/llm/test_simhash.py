@@ -95,3 +95,24 @@ def test_dropping_keeps_one_of_each_group(spark):
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.collect()]
     assert 1 in ids and 2 not in ids and None in ids and ids.count(12) == 1
+
+
+def test_dropping_goes_by_row_where_ids_repeat(spark):
+    a, b = "the first text " + "of many words " * 9, "quite another thing " + "said in other terms " * 9
+    docs = documents(spark, [(1, a), (5, a), (5, b), (None, a)])
+    got = sorted(((r.doc_id or 0), r.text) for r in simhash.drop_near_copies(docs).collect())
+    assert got == sorted([(0, a), (1, a), (5, b)])
+
+
+def test_dropping_against_brute_force(spark):
+    rows = [*texts(), (12, "same id, another text " + "with words of its own " * 5), (1, None)]
+    kept = simhash.drop_near_copies(documents(spark, rows)).collect()
+    roots = slow_roots({slow_fingerprint(t) for i, t in rows if i is not None})
+    of = lambda t: roots[slow_fingerprint(t)]
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[of(t)] = min(least.get(of(t), i), i)
+    named = [r for r in kept if r.doc_id is not None]
+    assert sorted((of(r.text), r.doc_id) for r in named) == sorted(least.items())
+    assert len(kept) - len(named) == sum(i is None for i, _ in rows)
