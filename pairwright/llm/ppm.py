@@ -9,25 +9,27 @@ frozen, a text's code length is a sum over its positions. A text ends with an
 end symbol (byte FF) and starts behind start symbols (FE); neither occurs in
 UTF-8.
 
-Sizes: counts cover the whole corpus and are summed by shuffles. What goes to
-executors is bounded: all contexts of up to two bytes (2**24 entries at most)
-and the ``MAX_CONTEXTS`` most frequent contexts of three bytes and more. A context
-is at most as frequent as its own endings and shorter ones go first, so endings of
-a context in the trie are in it too. Positions whose ``ORDER`` bytes are not among
-them go, with the counts of the whole corpus, to a partition by the last three
-bytes of their context, where the trie of all its longer contexts is built; so
-every position is scored as by the full trie. For the baseline the ``HEAD_WORDS``
-most frequent words travel as a table, all other words are joined by word, so no
-key of that join is hot.
+A position's score depends on its gram alone, the ``ORDER`` bytes before it and
+its own. So grams of the whole corpus are counted, each distinct gram is scored
+once by the whole trie, and positions look their gram up. Contexts that share
+their last three bytes meet in one task, where the trie of these contexts is built;
+contexts of up to two bytes (2**24 entries at most) travel to all tasks. No context
+is left out, so what is gathered grows with the corpus.
+
+The most frequent grams (``HEAD_GRAMS`` at most, by a count of the scored texts)
+travel as a hash table; positions of rarer ones are joined to the scores by gram.
+Words of the baseline go the same way (``HEAD_WORDS``). As what isn't in a head is
+rare, neither join has a hot key. Words of more than ``LONG_WORD`` bytes are named by a digest.
 
 Edge cases: a null or empty text has the end token and end symbol only; without
 training documents every byte has probability 1/256 and N = V = 0; long texts
-are read whole in pieces; repeated rows are counted and scored each; an empty
+are read whole; repeated rows are counted and scored each; an empty
 table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -35,18 +37,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, extend, map_chunks, remainder, slices, texts_of, written
+from .common import discard, extend, map_chunks, remainder, slices, texts_of, written
 
 START, END = 0xFE, 0xFF
 ORDER = 5
-MAX_CONTEXTS = 1 << 17
-HEAD_WORDS = 1 << 18
-HOLD = 1 << 22
-#: Counted grams, and rows in all, from which a part of a partition is scored.
-PART_GRAMS, PART_ROWS = 1 << 16, 1 << 19
+HEAD_GRAMS = 1 << 20
+HEAD_WORDS = 1 << 17
+LONG_WORD = 64
+#: Bytes of text worked on at a time, and counts held before they are passed on.
+CHUNK = 2 << 20
+HOLD_GRAMS, HOLD_WORDS = 1 << 21, 1 << 18
+#: Grams from which the trie of some endings is built.
+PART_GRAMS = 1 << 16
+#: Classes a doubling of a count is cut into when a head is chosen.
+STEPS = 8
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,389 +66,327 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(symbols: np.ndarray) -> np.ndarray:
     """Codes of ``ORDER`` bytes of context and the symbol after them, for every symbol but start marks."""
-    code = np.zeros(len(symbols) - ORDER, dtype=np.uint64)
+    code = np.zeros(max(len(symbols) - ORDER, 0), dtype=np.int64)
     for k in range(ORDER + 1):
-        code = (code << np.uint64(8)) | symbols[k : len(symbols) - ORDER + k]
+        code = (code << 8) | symbols[k : len(symbols) - ORDER + k]
     return code[symbols[ORDER:] != START]
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    unique, place = np.unique(keys, return_inverse=True)
+    return unique, *(np.bincount(place, weights=n, minlength=len(unique)).astype(np.int64) for n in counts)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """(learn, asked, text) to (gram, n, m): occurrences in texts to learn from, and in texts to score."""
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def out() -> pa.RecordBatch:
-        keys, counts = _summed(held)
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["gram", "n"])
+    def merged() -> tuple[np.ndarray, ...]:
+        return _summed(*(np.concatenate(x) for x in zip(*held)))
 
     for batch in batches:
-        for piece in slices(batch):
-            held.append(np.unique(grams(stream(texts_of(piece))[0]), return_counts=True))
-            if sum(len(k) for k, _ in held) > HOLD:
-                held = [_summed(held)]
-                if len(held[0][0]) > HOLD // 2:
-                    yield out()
+        for piece in slices(batch, limit=CHUNK):
+            texts, flags = texts_of(piece), list(zip(piece.column("learn").to_pylist(), piece.column("asked").to_pylist()))
+            for learn, asked in set(flags):
+                some = [t for t, f in zip(texts, flags) if f == (learn, asked)]
+                keys, n = np.unique(grams(stream(some)[0]), return_counts=True)
+                held.append((keys, n * bool(learn), n * bool(asked)))
+            if sum(len(x[0]) for x in held) > HOLD_GRAMS:
+                held = [merged()]
+                if len(held[0][0]) > HOLD_GRAMS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["gram", "n", "m"])
                     held = []
     if held:
-        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["gram", "n", "m"])
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words in lower case (A-Z), long ones by a digest behind a byte that no text has."""
+    found = text.lower().split()
+    if len(text) > LONG_WORD:
+        found = [w if len(w) <= LONG_WORD else b"\xff" + hashlib.blake2b(w, digest_size=16).digest() for w in found]
+    return found
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    """(learn, asked, text) to (word, n, m)."""
+    learnt: Counter = Counter()
+    scored: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"]
-        )
+        words = list(learnt.keys() | scored.keys())
+        columns = [pa.array([c[w] for w in words], pa.int64()) for c in (learnt, scored)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], ["word", "n", "m"])
 
     for batch in batches:
-        for piece in slices(batch):
-            for text in texts_of(piece):
-                held.update(text.lower().split())
-            if len(held) > HOLD // 8:
+        for piece in slices(batch, limit=CHUNK):
+            for text, learn, asked in zip(texts_of(piece), piece.column("learn").to_pylist(), piece.column("asked").to_pylist()):
+                found = words_of(text)
+                if learn:
+                    learnt.update(found)
+                if asked:
+                    scored.update(found)
+            if len(learnt) + len(scored) > HOLD_WORDS:
                 yield out()
-                held.clear()
-    if held:
+                learnt.clear()
+                scored.clear()
+    if learnt or scored:
         yield out()
 
 
-@dataclass
-class Trie:
-    """Frozen counts as flat arrays; ``prepare`` makes the lookup tables of a process.
+def _find(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted array, and which are there."""
+    if not len(held):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return place, held[place] == keys
+
 
-    Nodes are the contexts of three bytes and more, shorter ones first.
-    """
+@dataclass
+class Level:
+    """All contexts of ``size`` bytes: their symbols' counts, totals, distinct symbols, and what these symbols count one level below."""
 
-    order: np.ndarray  # of each node
-    context: np.ndarray  # code of each node, sorted within an order
-    node: np.ndarray  # of each entry
-    symbol: np.ndarray
+    size: int
+    key: np.ndarray  # context and symbol, sorted
     count: np.ndarray
-    pair: np.ndarray  # two bytes of context and a symbol, sorted
-    pair_count: np.ndarray
-    whole: bool = True  # no counted context was left out
-
-    def prepare(self) -> Trie:
-        def sums(values: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
-            return np.bincount(values, weights=weights, minlength=size).astype(np.float64)
-
-        pair, n2 = self.pair.astype(np.int64), self.pair_count.astype(np.float64)
-        two = pair & 0xFFFF  # one byte of context and the symbol
-        one = np.bincount(two, weights=n2, minlength=1 << 16).astype(np.float64)
-        zero, seen1 = one.reshape(256, 256).sum(axis=0), one.reshape(256, 256) > 0
-        self.zero, self.one = zero, one
-        self.total2, self.kinds2 = sums(pair >> 8, 1 << 16, n2), sums(pair >> 8, 1 << 16)
-        self.total1, self.kinds1 = one.reshape(256, 256).sum(axis=1), seen1.sum(axis=1).astype(np.float64)
-        self.total0, self.kinds0 = float(zero.sum()), float((zero > 0).sum())
-        # what remains below a context once its symbols are excluded
-        self.left1 = self.total1[np.arange(1 << 16) & 0xFF] - sums(pair >> 8, 1 << 16, one[two])
-        self.left0 = self.total0 - (seen1 * zero[None, :]).sum(axis=1)
-
-        nodes = len(self.context)
-        present = np.flatnonzero(zero)
-        self.width = len(present) + 2  # seen symbols, the start mark, any other
-        self.column = np.full(256, len(present) + 1, dtype=np.int64)
-        self.column[present] = np.arange(len(present))
-        self.column[START] = len(present)
-        first = self.order == 3
-        self.slot = np.full(1 << 24, -1, dtype=np.int32)
-        self.slot[self.context[first]] = np.flatnonzero(first)
-        self.suffix = np.full(nodes, -1, dtype=np.int64)
-        self.child = np.full(nodes * self.width, -1, dtype=np.int32)
-        for k in range(4, ORDER + 1):
-            own, below = np.flatnonzero(self.order == k), np.flatnonzero(self.order == k - 1)
-            if len(own):
-                bits = 8 * (k - 1)
-                ending = self.context[own] & ((1 << bits) - 1)
-                self.suffix[own] = below[np.searchsorted(self.context[below], ending)]
-                self.child[self.suffix[own] * self.width + self.column[self.context[own] >> bits]] = own
-        n = self.count.astype(np.float64)
-        total, self.kinds = sums(self.node, nodes, n), sums(self.node, nodes)
-        self.bottom = np.log10(np.maximum(total + self.kinds, 1))
-        self.escape = np.log10(np.maximum(self.kinds, 1)) - self.bottom
-        self.table = np.zeros(nodes * self.width, dtype=np.float32)
-        self.table[self.node * self.width + self.column[self.symbol]] = n
-        deep = self.suffix[self.node] >= 0
-        below = np.zeros(len(self.node))
-        below[deep] = self.table[self.suffix[self.node[deep]] * self.width + self.column[self.symbol[deep]]]
-        if len(pair):
-            code = ((self.context[self.node] & 0xFFFF) << 8) | self.symbol
-            below[~deep] = n2[np.searchsorted(pair, code[~deep])]
-        under = np.where(self.suffix >= 0, total[self.suffix], self.total2[self.context & 0xFFFF])
-        self.left = under - sums(self.node, nodes, below)
-        return self
-
-    def longest(self, code: np.ndarray) -> np.ndarray:
-        """Node of the longest context of each code, or -1."""
-        node = self.slot[((code >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.int64)].astype(np.int64)
-        for k in range(4, ORDER + 1):
-            on = np.flatnonzero(node >= 0) if k == 4 else on[deeper]
-            before = ((code[on] >> np.uint64(8 * k)) & np.uint64(0xFF)).astype(np.int64)
-            child = self.child[node[on] * self.width + self.column[before]]
-            deeper = child >= 0
-            node[on[deeper]] = child[deeper]
-        return node
-
-    def position_scores(self, code: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
-        """log10 probability of each code's last symbol after the bytes before it."""
-        symbol = (code & np.uint64(0xFF)).astype(np.int64)
-        node = self.longest(code) if node is None else node
-        value = np.full(len(code), np.nan)
-        known = np.flatnonzero(node >= 0)
-        count = self.table[node[known] * self.width + self.column[symbol[known]]]
-        hit = count > 0
-        value[known[hit]] = np.log10(count[hit]) - self.bottom[node[known[hit]]]
-        rest = np.flatnonzero(np.isnan(value))
-        if len(rest):
-            value[rest] = self._below(code[rest], symbol[rest], node[rest])
-        return value
+    context: np.ndarray  # sorted
+    total: np.ndarray
+    kinds: np.ndarray
+    covered: np.ndarray
+
+    @staticmethod
+    def of(gram: np.ndarray, n: np.ndarray, size: int, below: Level | None) -> Level:
+        key, count = _summed(gram & ((1 << 8 * (size + 1)) - 1), n)
+        context, place = np.unique(key >> 8, return_inverse=True)
+
+        def sums(weights: np.ndarray | None = None) -> np.ndarray:
+            return np.bincount(place, weights=weights, minlength=len(context)).astype(np.float64)
+
+        covered = sums(below.counts(key)) if below else np.zeros(len(context))
+        return Level(size, key, count, context, sums(count), sums(), covered)
+
+    def counts(self, gram: np.ndarray) -> np.ndarray:
+        place, there = _find(self.key, gram & ((1 << 8 * (self.size + 1)) - 1))
+        return np.where(there, self.count[place] if len(self.count) else 0, 0)
+
+
+def base_levels(pair: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels of no, one and two bytes of context from counts of the last."""
+    levels: list[Level] = []
+    for size in range(3):
+        levels.append(Level.of(pair, n, size, levels[-1] if levels else None))
+    return levels
+
+
+def gram_scores(asked: np.ndarray, gram: np.ndarray, n: np.ndarray, base: list[Level]) -> np.ndarray:
+    """log10 probability of each asked gram's last symbol; ``gram`` and ``n`` are all counts that share its three-byte endings."""
+    levels = list(base)
+    for size in range(3, ORDER + 1):
+        levels.append(Level.of(gram, n, size, levels[-1]))
+    score, todo = np.zeros(len(asked)), np.ones(len(asked), dtype=bool)
+    kinds_above, covered_above = np.zeros(len(asked)), np.zeros(len(asked))
+    for level in reversed(levels):
+        place, there = _find(level.context, (asked >> 8) & ((1 << 8 * level.size) - 1))
+        if not len(level.context):
+            continue
+        # what contexts above have is excluded; they hold a part of this one's symbols
+        distinct = np.where(there, level.kinds[place] - kinds_above, 0)
+        bottom = np.where(there, level.total[place] - covered_above, 0) + distinct
+        count = level.counts(asked)
+        coded = todo & there & (count > 0)
+        score[coded] += np.log10(count[coded] / bottom[coded])
+        todo &= ~coded
+        down = todo & there & (distinct > 0)
+        score[down] += np.log10(distinct[down] / bottom[down])
+        kinds_above = np.where(there, level.kinds[place], kinds_above)
+        covered_above = np.where(there, level.covered[place], covered_above)
+    rest = 256 - (int(levels[0].kinds[0]) if len(levels[0].kinds) else 0)
+    return np.where(todo, score - np.log10(max(rest, 1)), score)
+
+
+def scored_grams(counted: DataFrame) -> DataFrame:
+    """gram, m and score of every gram in ``counted`` (gram, n, m) by the whole trie of the counts n."""
+    known = counted.where("n > 0")
+    # two bytes of context and a symbol: 2**24 rows at most
+    pairs = known.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    shared = counted.sparkSession.sparkContext.broadcast(tuple(np.asarray(pairs[c]).astype(np.int64) for c in ("pair", "n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = base_levels(*shared.value)
+        held, size = [], 0
+
+        def out(part: np.ndarray) -> pa.RecordBatch:
+            _, gram, n, m = part
+            value = gram_scores(gram, gram[n > 0], n[n > 0], base)
+            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(m), pa.array(value)], ["gram", "m", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
+            size += batch.num_rows
+            if size >= PART_GRAMS:
+                part = np.concatenate(held, axis=1)
+                ready = int(np.searchsorted(part[0], part[0, -1]))  # the last ending may go on in the next batch
+                if ready:
+                    yield out(part[:, :ready])
+                held, size = [part[:, ready:]], part.shape[1] - ready
+        if size:
+            yield out(np.concatenate(held, axis=1))
+
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("ending")
+    rows = counted.select(ending, "gram", "n", "m").repartition("ending").sortWithinPartitions("ending")
+    return rows.mapInArrow(run, "gram bigint, m bigint, score double")
+
+
+def _head(rows: DataFrame, m: Column, limit: int) -> DataFrame:
+    """The rows of the largest ``m``, whole classes of counts, ``limit`` rows at most."""
+    step = F.floor(F.log2(F.greatest(m, F.lit(1))) * STEPS)
+    held, least = 0, None
+    for r in sorted(rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > limit:
+            break
+        least = r["step"]
+    return rows.where(step >= least) if least is not None else rows.where(F.lit(False))
+
 
-    def _below(self, code: np.ndarray, symbol: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Scores of symbols that their longest context in the trie lacks."""
-        known = node >= 0
-        score = np.where(known, self.escape[node], 0.0) if len(self.escape) else np.zeros(len(code))
-        todo = np.ones(len(code), dtype=bool)
-
-        def step(count: np.ndarray, rest: np.ndarray, distinct: np.ndarray, on: np.ndarray) -> None:
-            bottom = rest + distinct
-            coded = todo & on & (count > 0)
-            score[coded] += np.log10(count[coded] / bottom[coded])
-            todo[coded] = False
-            down = todo & on & (distinct > 0)
-            score[down] += np.log10(distinct[down] / bottom[down])
-
-        for _ in range(4, ORDER + 1):
-            on = np.flatnonzero(known & todo)
-            on = on[self.suffix[node[on]] >= 0]
-            if not len(on):
-                break
-            here, last = self.suffix[node[on]], node[on]
-            count, rest, distinct, mask = (np.zeros(len(code)) for _ in range(4))
-            count[on] = self.table[here * self.width + self.column[symbol[on]]]
-            rest[on], distinct[on], mask[on] = self.left[last], self.kinds[here] - self.kinds[last], 1
-            step(count, rest, distinct, mask > 0)
-            node = node.copy()
-            node[on] = here
-        pair = (code & np.uint64(0xFFFFFF)).astype(np.int64)
-        two = pair & 0xFFFF
-        c2, c1 = pair >> 8, two >> 8
-        left, kinds = self.total2[c2].copy(), self.kinds2[c2].copy()
-        left[known] = self.left[node[known]]
-        kinds[known] -= self.kinds[node[known]]
-        here = np.zeros(len(code))
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
-            here = np.where(self.pair[at] == pair, self.pair_count[at], 0)
-        always = np.ones(len(code), dtype=bool)
-        step(here, left, kinds, always)
-        rest = np.where(self.kinds2[c2] == 0, self.total1[c1], self.left1[c2])
-        step(self.one[two], rest, self.kinds1[c1] - self.kinds2[c2], always)
-        rest = np.where(self.kinds1[c1] == 0, self.total0, self.left0[c1])
-        step(self.zero[symbol], rest, self.kinds0 - self.kinds1[c1], always)
-        return np.where(todo, score - np.log10(max(256 - self.kinds0, 1)), score)
+@dataclass
+class Table:
+    """Open-addressing hash table from gram to score."""
+
+    key: np.ndarray
+    value: np.ndarray
+    shift: int
+
+    @staticmethod
+    def of(key: np.ndarray, value: np.ndarray) -> Table:
+        bits = max(4, int(2 * len(key)).bit_length())
+        table = Table(np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits), 64 - bits)
+        slot, left = table._slot(key), np.arange(len(key))
+        while len(left):
+            free = table.key[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            table.key[slot[put]], table.value[slot[put]] = key[left[put]], value[left[put]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & (len(table.key) - 1)
+        return table
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """Scores, nan for grams that aren't held."""
+        slot = self._slot(key)
+        found = self.key[slot]
+        value = np.where(found == key, self.value[slot], np.nan)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.key) - 1)
+            found = self.key[slot]
+            hit = found == key[left]
+            value[left[hit]] = self.value[slot[hit]]
+            on = ~hit & (found >= 0)
+            left, slot = left[on], slot[on]
+        return value
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each text's positions that this trie can code; codes of the others, and how many a text has."""
+        """Each text's sum over the grams held, all other grams, and how many of these each text has."""
         symbols, start = stream(texts)
-        place = np.flatnonzero(symbols[ORDER:] != START) + ORDER
         code = grams(symbols)
-        node = self.longest(code)
-        held = np.append(self.order == ORDER, False)[node] | self.whole
+        got = self.get(code)
+        far = np.isnan(got)
+        place = np.flatnonzero(symbols[ORDER:] != START) + ORDER
         value = np.zeros(len(symbols))
-        value[place[held]] = self.position_scores(code[held], node[held])
-        text = np.searchsorted(start, place[~held], side="right") - 1
-        return np.add.reduceat(value, start), code[~held], np.bincount(text, minlength=len(texts))
-
-
-_PREPARED: dict[str, Trie] = {}
-
-
-def count_corpus(training: DataFrame) -> dict[int, DataFrame]:
-    """Counts (gram, n) of contexts of two to ``ORDER`` bytes with the symbol after them."""
-    rows = training.select("text").mapInArrow(_count_grams, "gram bigint, n bigint")
-    counted = {ORDER: checkpoint(rows.groupBy("gram").agg(F.sum("n").alias("n")))}
-    for k in range(ORDER - 1, 1, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        counted[k] = counted[k + 1].groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n"))
-        counted[k] = checkpoint(counted[k]) if k == ORDER - 1 else counted[k]
-    return counted
-
-
-def train_trie(training: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """Count the corpus and bring the bounded trie to the driver."""
-    return bounded_trie(count_corpus(training), max_contexts)
-
-
-def bounded_trie(counted: dict[int, DataFrame], max_contexts: int) -> Trie:
-    ranked = None
-    for k in range(3, ORDER + 1):
-        context = F.shiftright("gram", 8).alias("context")
-        own = counted[k].groupBy(context).agg(F.sum("n").alias("total")).select(F.lit(k).alias("order"), "context", "total")
-        ranked = own if ranked is None else ranked.unionAll(own)
-    top = ranked.orderBy(F.desc("total"), "order", "context").limit(max_contexts).select("order", "context").toArrow()
-    order, context = np.asarray(top["order"]).astype(np.int64), np.asarray(top["context"]).astype(np.int64)
-    by = np.lexsort((context, order))
-    order, context = order[by], context[by]
-    nodes, symbols, counts = [], [], []
-    for k in range(3, ORDER + 1):
-        own = np.flatnonzero(order == k)
-        # max_contexts rows of one number at most
-        kept = counted[k].sparkSession.createDataFrame(pa.table({"context": context[own]}))
-        found = counted[k].join(F.broadcast(kept), F.shiftright("gram", 8) == F.col("context"), "left_semi").toArrow()
-        gram = np.asarray(found["gram"]).astype(np.int64)
-        nodes.append(own[np.searchsorted(context[own], gram >> 8)] if len(own) else own)
-        symbols.append(gram & 0xFF)
-        counts.append(np.asarray(found["n"]).astype(np.int64))
-    pairs = counted[2].toArrow()
-    pair, pair_count = np.asarray(pairs["gram"]).astype(np.int64), np.asarray(pairs["n"])
-    by = np.argsort(pair)
-    return Trie(
-        order,
-        context,
-        np.concatenate(nodes),
-        np.concatenate(symbols),
-        np.concatenate(counts),
-        pair[by],
-        pair_count[by],
-        len(context) < max_contexts,
-    )
+        value[place] = np.where(far, 0.0, got)
+        text = np.searchsorted(start, place[far], side="right") - 1
+        return np.add.reduceat(value, start), code[far], np.bincount(text, minlength=len(texts))
 
 
-def trie_of(gram: np.ndarray, n: np.ndarray, pair: np.ndarray, pair_count: np.ndarray) -> Trie:
-    """All contexts of three bytes and more of these grams; ``pair`` is of the whole corpus."""
-    orders, contexts, nodes, symbols, counts, size = [], [], [], [], [], 0
-    for k in range(3, ORDER + 1):
-        keys, sums = _summed([(gram & ((1 << 8 * (k + 1)) - 1), n)])
-        context, node = np.unique(keys >> 8, return_inverse=True)
-        orders.append(np.full(len(context), k))
-        contexts.append(context)
-        nodes.append(node + size)
-        symbols.append(keys & 0xFF)
-        counts.append(sums)
-        size += len(context)
-    return Trie(*(np.concatenate(x) for x in (orders, contexts, nodes, symbols, counts)), pair, pair_count)
-
-
-def _score_part(part: np.ndarray, last: bool, pairs: tuple) -> tuple[pa.RecordBatch | None, np.ndarray]:
-    """Scores by row of what is asked in ``part`` (columns ending, row, gram, n; in order), and the rows still needed."""
-    ending, row, gram, n = part
-    ready = len(row) if last or row[-1] >= 0 else int(np.searchsorted(ending, ending[-1]))
-    asked = row[:ready] >= 0
-    out = None
-    if asked.any():
-        trie = trie_of(gram[:ready][~asked], n[:ready][~asked], *pairs).prepare()
-        value = trie.position_scores(gram[:ready][asked].astype(np.uint64))
-        rows, inverse = np.unique(row[:ready][asked], return_inverse=True)
-        sums = np.bincount(inverse, weights=value)
-        out = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], ["_row", "value"])
-    # counts of the last ending serve the rows that are still to come
-    return out, part[:, (ending == ending[-1]) & (row < 0)] if ready == len(row) else part[:, ready:]
-
-
-def far_scores(asked: DataFrame, counted: DataFrame, trie: Trie) -> DataFrame:
-    """``_row`` and value (several a row) of the grams in ``asked`` (_row, gram) by the full trie of the counts.
-
-    Contexts with the same last three bytes meet in one partition, and with them all that a
-    score needs beside the pairs. Rows stream through in order, counts first.
-    """
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("ending")
-    known = counted.select(ending, F.lit(-1).cast("bigint").alias("_row"), "gram", "n")
-    rows = known.unionAll(asked.select(ending, "_row", "gram", F.lit(0).cast("bigint").alias("n")))
-    shared = asked.sparkSession.sparkContext.broadcast((trie.pair, trie.pair_count))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _PREPARED.clear()
-        held, known, new = [], 0, 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
-                known, new = known + int((held[-1][1] < 0).sum()), new + batch.num_rows
-            if known >= PART_GRAMS or new >= PART_ROWS:
-                out, rest = _score_part(np.concatenate(held, axis=1), False, shared.value)
-                held, known, new = [rest], 0, 0
-                if out is not None:
-                    yield out
-        if held and (part := np.concatenate(held, axis=1)).size:
-            out, _ = _score_part(part, True, shared.value)
-            if out is not None:
-                yield out
-
-    return rows.repartition("ending").sortWithinPartitions("ending", "_row").mapInArrow(run, "_row bigint, value double")
+#: What tasks of one worker process share: grams and words of the heads.
+_HELD: dict[str, tuple[Table, dict[bytes, tuple[int, float]]]] = {}
 
 
 def score_texts(
     docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
-    """``keep`` with n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``."""
-    spark = docs.sparkSession
-    training = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ends = training.count()
-    counted = count_corpus(training)
-    trie = bounded_trie(counted, MAX_CONTEXTS)
-    words = training.mapInArrow(_count_words, "word binary, n bigint")
-    words = checkpoint(words.groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    """``keep`` with n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``, learning from ``training``."""
+    learn = training.select(F.lit(True).alias("learn"), F.lit(False).alias("asked"), F.col(text_col).alias("text"))
+    asked = docs.select(F.lit(False).alias("learn"), F.lit(True).alias("asked"), F.col(text_col).alias("text"))
+    return _scored(docs, learn.unionAll(asked), keep, text_col)
+
+
+def _scored(docs: DataFrame, rows: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """As ``score_texts``; ``rows`` (learn, asked, text) holds both sides."""
+    context = docs.sparkSession.sparkContext
+    ends = rows.where("learn").count()
+    counted = written(
+        rows.mapInArrow(_count_grams, "gram bigint, n bigint, m bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    )
+    scores = written(scored_grams(counted).where("m > 0"))
+    discard(counted)
+    words = rows.mapInArrow(_count_words, "word binary, n bigint, m bigint")
+    words = written(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, kinds = total + ends, distinct + (1 if ends else 0)
     bottom = tokens + 0.1 * (kinds + 1)
-    # a bounded table: HEAD_WORDS words, of which very long ones are left to the join
-    head = words.where(F.octet_length("word") <= 256).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
-    table = dict(zip(head["word"].to_pylist(), head["n"].to_pylist()))
-    shared = spark.sparkContext.broadcast((trie, table))
-    fields, key = [docs.schema[c] for c in keep], uuid.uuid4().hex
-    rows = docs.select(
+
+    def log_share(count: int) -> float:
+        return float(np.log10((count + 0.1) / bottom))
+
+    # both heads are bounded tables: HEAD_GRAMS pairs of numbers, HEAD_WORDS words of LONG_WORD bytes at most
+    head = _head(scores, F.col("m"), HEAD_GRAMS).select("gram", "score").toArrow()
+    table = Table.of(np.asarray(head["gram"]).astype(np.int64), np.asarray(head["score"]).astype(np.float64))
+    head = _head(words.where("m > 0"), F.col("m"), HEAD_WORDS).select("word", "n").toArrow()
+    shares = {w: (int(n > 0), log_share(n)) for w, n in zip(head["word"].to_pylist(), head["n"].to_pylist())}
+    shared, name, end_share = context.broadcast((table, shares)), uuid.uuid4().hex, log_share(ends)
+    del head, table, shares
+    kept_names = [f"_keep_{c}" for c in keep]
+    numbered = docs.select(
         F.monotonically_increasing_id().alias("_row"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        *[F.col(c).alias(k) for c, k in zip(keep, kept_names)],
         F.col(text_col).alias("_text"),
     )
-    kept_names = [f"_keep_{c}" for c in keep]
-
-    def log_share(count: float) -> float:
-        return float(np.log10((count + 0.1) / bottom))
 
     def make():
-        if key not in _PREPARED:  # one set of tables for all tasks of a worker process
-            _PREPARED.clear()
-            _PREPARED[key] = shared.value[0].prepare()
-        model, known_words = _PREPARED[key], shared.value[1]
-        shares = {w: log_share(c) for w, c in known_words.items()}
-        end_share = log_share(ends)
+        if name not in _HELD:
+            _HELD.clear()
+            _HELD[name] = shared.value
+        model, known_words = _HELD[name]
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(piece, "_text")
             n_tokens, n_known, base, tail, times, sizes = [], [], [], [], [], []
             for text in texts:
-                found = text.lower().split()
-                counts = Counter(found)
-                known, score = (1 if ends else 0), end_share
-                before = len(tail)
-                for word, n in counts.items():
-                    share = shares.get(word)
-                    if share is None:
+                found = words_of(text)
+                known, score, before = (1 if ends else 0), end_share, len(tail)
+                for word, n in Counter(found).items():
+                    if (held := known_words.get(word)) is None:
                         tail.append(word)
                         times.append(n)
                     else:
-                        known += n
-                        score += n * share
+                        known += n * held[0]
+                        score += n * held[1]
                 n_tokens.append(len(found) + 1)
                 n_known.append(known)
                 base.append(score)
                 sizes.append(len(tail) - before)
             offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-            scores, far, far_sizes = model.scores(texts)
-            far_offsets = pa.array(np.cumsum([0, *far_sizes]), pa.int32())
+            scored, far, far_sizes = model.scores(texts)
             columns = [
                 piece.column("_row"),
                 *(piece.column(c) for c in kept_names),
                 pa.array(n_tokens, pa.int64()),
                 pa.array(n_known, pa.int64()),
                 pa.array(base, pa.float64()),
-                pa.array(scores, pa.float64()),
+                pa.array(scored, pa.float64()),
                 pa.ListArray.from_arrays(offsets, pa.array(tail, pa.binary())),
                 pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
-                pa.ListArray.from_arrays(far_offsets, pa.array(far.astype(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *far_sizes]), pa.int32()), pa.array(far)),
             ]
             names = ["_row", *kept_names, "n_tokens", "n_known", "base", "score", "tail", "times", "far"]
             return pa.RecordBatch.from_arrays(columns, names)
@@ -449,41 +394,33 @@ def score_texts(
         return work
 
     added = "n_tokens bigint, n_known bigint, base double, score double, tail array<binary>, times array<bigint>, far array<bigint>"
-    schema = extend(rows.select("_row", *kept_names).schema, added)
-    scored = written(map_chunks(rows, make, schema, "_text"))
-    rare = scored.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select(
-        "_row", F.col("x.tail").alias("word"), F.col("x.times").alias("times")
-    )
-    count = F.coalesce(F.col("n"), F.lit(0))
-    found = rare.join(words, "word", "left").select(
-        "_row",
-        F.when(count > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(float(bottom)))).alias("share"),
-        F.lit(0.0).alias("value"),
-    )
-    if not trie.whole:
-        asked = scored.select("_row", F.explode("far").alias("gram"))
-        far = far_scores(asked, counted[ORDER], trie)
-        found = found.unionAll(far.select("_row", F.lit(0).cast("bigint"), F.lit(0.0), "value"))
-    found = found.groupBy("_row").agg(
-        F.sum("known").alias("more_known"), F.sum("share").alias("more"), F.sum("value").alias("far_score")
+    near = written(map_chunks(numbered, make, extend(numbered.select("_row", *kept_names).schema, added), "_text", CHUNK))
+    rare = near.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("x"))
+    rare = rare.select("_row", F.col("x.tail").alias("word"), F.col("x.times").alias("times")).join(words, "word")
+    share = F.col("times") * F.log10((F.col("n") + F.lit(0.1)) / F.lit(float(bottom)))
+    known = F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))
+    far = near.select("_row", F.explode("far").alias("gram")).join(scores.select("gram", F.col("score").alias("value")), "gram")
+    zero = F.lit(0.0)
+    found = rare.select("_row", known.alias("known"), share.alias("share"), zero.alias("value")).unionAll(
+        far.select("_row", F.lit(0).cast("bigint"), zero, "value")
     )
-    out = scored.drop("tail", "times", "far").join(found, "_row", "left")
+    found = found.groupBy("_row").agg(F.sum("known").alias("more_known"), F.sum("share").alias("more"), F.sum("value").alias("far_score"))
+    out = near.drop("tail", "times", "far").join(found, "_row", "left")
     return out.select(
-        *[F.col(f"_keep_{f.name}").alias(f.name) for f in fields],
+        *[F.col(k).alias(c) for c, k in zip(keep, kept_names)],
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("more", zero)).alias("base_score"),
+        (F.col("score") + F.coalesce("far_score", zero)).alias("score"),
     )
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns: learns from documents whose remainder modulo 10 is not 0, scores all."""
-    rows = docs.select("doc_id", "text")
-    scored = score_texts(rows, rows.where(remainder("doc_id", 10) != 0))
-    return scored.select(
+    docs = docs.select("doc_id", "text")
+    rows = docs.select((remainder("doc_id", 10) != 0).alias("learn"), F.lit(True).alias("asked"), "text")
+    return _scored(docs, rows, ("doc_id",), "text").select(
         "doc_id",
         (remainder("doc_id", 10) == 0).alias("held_out"),
         "n_tokens",
