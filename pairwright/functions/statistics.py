@@ -141,17 +141,21 @@ def t_critical(df: float, level: float = 0.95) -> float:
 
 
 def sign_flip_exact(sums: list[int]) -> float:
-    """Share of all sign assignments whose total is at least as far from 0 as the observed one."""
+    """Share of all sign assignments whose total is at least as far from 0 as the observed one.
+
+    The numbers of subsets by their sum are the digits of one whole number in base ``2**width``: a cluster of size a
+    multiplies the polynomial by 1 + x**a, a shift and an addition. Digits add up modulo base - 1.
+    """
     sizes = [abs(int(s)) for s in sums if s]
-    observed = abs(sum(int(s) for s in sums))
-    ways = {0: 1}
+    observed, whole = abs(sum(int(s) for s in sums)), sum(sizes)
+    if observed == 0:
+        return 1.0
+    width, ways = len(sizes) + 1, 1
     for size in sizes:
-        step: dict[int, int] = {}
-        for total, n in ways.items():
-            for value in (total + size, total - size):
-                step[value] = step.get(value, 0) + n
-        ways = step
-    return sum(n for total, n in ways.items() if abs(total) >= observed) / (1 << len(sizes))
+        ways += ways << (size * width)
+    # a subset of sum s stands for the total 2 s - whole; both tails are alike
+    low = ways & ((1 << ((whole - observed) // 2 + 1) * width) - 1)
+    return min(1.0, 2 * (low % ((1 << width) - 1)) / (1 << len(sizes)))
 
 
 def _over(function, kinds: tuple, *columns: pd.Series) -> pd.Series:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cell_summary(rows: DataFrame, by: list[str], correct: Column, wall: Column) -> DataFrame:
-    """n, k, accuracy, mean and total wall time, correct per minute and accuracy per minute of mean wall."""
+def cell_summary(rows: DataFrame, by: list[str], correct: Column, wall: Column, tokens: Column | None = None) -> DataFrame:
+    """n, k, accuracy, mean and total wall time, correct per minute and accuracy per minute of mean wall; with ``tokens`` their
+    mean over the rows that have any."""
+    more = [] if tokens is None else [F.avg(tokens).alias("mean_tokens")]
     return rows.groupBy(*by).agg(
+        *more,
         F.count("*").alias("n"),
         F.count_if(correct).alias("k"),
         F.avg(correct.cast("int")).alias("accuracy"),

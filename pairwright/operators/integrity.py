@@ -90,3 +90,11 @@ def verify_manifest(files: DataFrame, manifest: DataFrame, path: str = "path", d
         .otherwise("changed")
     )
     return have.join(want, path, "full_outer").select(path, status.alias("status"))
+
+
+def whitelist(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Only the named columns, in this order; one that isn't there fails rather than being left out."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"no column {missing[0]}")
+    return rows.select(*columns)

@@ -7,37 +7,72 @@ from pyspark.sql import functions as F
 
 GRAM = 25
 STRIDE = 24
+#: Sizes up to which a side travels to all tasks: characters of the small texts, candidate pairs; items in a block of the scan.
+SMALL_CHARS, PAIRS, BLOCK = 1 << 21, 1 << 18, 1024
 
 
-def grams(text: Column, size: int, stride: int) -> Column:
-    """Substrings of ``size`` characters at every ``stride``-th offset; none of shorter texts."""
+def grams(text: Column, size: int) -> Column:
+    """Substrings of ``size`` characters at every offset; none of shorter texts."""
     last = F.char_length(text) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1, F.lit(stride))).otherwise(F.expr("array()").cast("array<int>"))
+    starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.expr("array()").cast("array<int>"))
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
 
+def strided_grams(text: Column, size: int = GRAM, stride: int = STRIDE) -> Column:
+    """Substrings of ``size`` = ``stride`` + 1 characters at every ``stride``-th offset, in time linear in the text: pieces of
+    ``stride`` characters, each with the first character of the next one."""
+    if size != stride + 1:
+        raise ValueError("a gram is a piece and one character")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    joined = F.zip_with(pieces, F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda a, b: F.concat(a, F.substring(b, 1, 1)))
+    return F.filter(joined, lambda g: g.isNotNull())
+
+
 def leak_candidates(
     small: DataFrame, large: DataFrame, small_id: str, large_id: str, small_text: str, large_text: str
 ) -> DataFrame:
     """Pairs of ids that share a gram of ``GRAM`` characters: every offset of the small side, every ``STRIDE``-th of the large.
 
     Any run of GRAM + STRIDE - 1 = 48 characters that two texts share holds one
-    of the large side's grams, so no such pair is lost.
+    of the large side's grams, so no such pair is lost. Grams of a small side of up to
+    ``SMALL_CHARS`` characters are matched in the large side's scan, without a shuffle.
     """
-    left = small.select(F.col(small_id), F.explode(F.array_distinct(grams(F.col(small_text), GRAM, 1))).alias("gram"))
-    right = large.select(F.col(large_id), F.explode(F.array_distinct(grams(F.col(large_text), GRAM, STRIDE))).alias("gram"))
-    return left.join(right, "gram").select(small_id, large_id).distinct()
+    left = small.select(F.col(small_id), F.explode(F.array_distinct(grams(F.col(small_text), GRAM))).alias("gram"))
+    right = large.select(F.col(large_id), F.explode(F.array_distinct(strided_grams(F.col(large_text)))).alias("gram"))
+    chars = small.agg(F.coalesce(F.sum(F.char_length(small_text)), F.lit(0))).first()[0]
+    return right.join(F.broadcast(left) if chars <= SMALL_CHARS else left, "gram").select(small_id, large_id).distinct()
+
+
+def _with_texts(
+    pairs: DataFrame, small: DataFrame, large: DataFrame, small_id: str, large_id: str, small_text: str, large_text: str
+) -> DataFrame:
+    """Candidate pairs with both texts; few pairs go to the large texts, not the texts to them."""
+    pairs = pairs.join(small.select(small_id, F.col(small_text).alias("_small")), small_id).persist()
+    few = pairs.agg(F.coalesce(F.sum(F.char_length("_small") + 32), F.lit(0))).first()[0] <= 64 * PAIRS
+    return large.select(large_id, F.col(large_text).alias("_large")).join(F.broadcast(pairs) if few else pairs, large_id)
 
 
 def contains_join(small: DataFrame, large: DataFrame, small_id: str, large_id: str, small_text: str, large_text: str) -> DataFrame:
-    """Pairs where the large text contains the whole small one (48 characters or more), candidates verified exactly."""
-    pairs = leak_candidates(
-        small.where(F.char_length(small_text) >= GRAM + STRIDE - 1), large, small_id, large_id, small_text, large_text
-    )
-    joined = pairs.join(small.select(small_id, F.col(small_text).alias("_small")), small_id).join(
-        large.select(large_id, F.col(large_text).alias("_large")), large_id
-    )
-    return joined.where(F.contains("_large", F.col("_small"))).select(small_id, large_id)
+    """Pairs where the large text contains the whole small one, which isn't empty.
+
+    Items of 48 characters or more are found by grams and verified exactly. Shorter ones are
+    looked for in every large text, ``BLOCK`` of them at a time.
+    """
+    sides = small_id, large_id, small_text, large_text
+    held = small.where(F.char_length(small_text) > 0)
+    long = held.where(F.char_length(small_text) >= GRAM + STRIDE - 1)
+    found = _with_texts(leak_candidates(long, large, *sides), long, large, *sides)
+    found = found.where(F.contains("_large", F.col("_small"))).select(small_id, large_id)
+    short = held.where(F.char_length(small_text) < GRAM + STRIDE - 1)
+    blocks = -(-short.count() // BLOCK)
+    if not blocks:
+        return found
+    block = F.pmod(F.xxhash64(small_id, small_text), F.lit(blocks)).cast("int").alias("_block")
+    lists = short.groupBy(block).agg(F.collect_list(F.struct(F.col(small_id).alias("id"), F.col(small_text).alias("x"))).alias("_items"))
+    rows = large.select(large_id, F.col(large_text).alias("_large"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    met = rows.join(lists, "_block") if blocks > 1 else rows.join(F.broadcast(lists), "_block")
+    hits = met.select(large_id, F.explode(F.filter("_items", lambda i: F.contains(F.col("_large"), i["x"]))).alias("_hit"))
+    return found.unionAll(hits.select(F.col("_hit.id").alias(small_id), large_id))
 
 
 def ngram_leak(
@@ -46,11 +81,9 @@ def ngram_leak(
     """Pairs that share a run of ``size`` characters (48 or more), with the number of the small side's grams found."""
     if size < GRAM + STRIDE - 1:
         raise ValueError(f"runs under {GRAM + STRIDE - 1} characters could be missed")
-    pairs = leak_candidates(small, large, small_id, large_id, small_text, large_text)
-    joined = pairs.join(small.select(small_id, F.col(small_text).alias("_small")), small_id).join(
-        large.select(large_id, F.col(large_text).alias("_large")), large_id
-    )
-    found = F.size(F.filter(F.array_distinct(grams(F.col("_small"), size, 1)), lambda g: F.contains(F.col("_large"), g)))
+    sides = small_id, large_id, small_text, large_text
+    joined = _with_texts(leak_candidates(small, large, *sides), small, large, *sides)
+    found = F.size(F.filter(F.array_distinct(grams(F.col("_small"), size)), lambda g: F.contains(F.col("_large"), g)))
     return joined.withColumn("n_grams", found.cast("long")).where("n_grams > 0").select(small_id, large_id, "n_grams")
 
 
@@ -101,3 +134,8 @@ def positional_zip(a: DataFrame, b: DataFrame, pos: str) -> DataFrame:
     left = a.select(pos, *[F.col(c).alias(f"{c}_a") for c in a.columns if c != pos])
     right = b.select(pos, *[F.col(c).alias(f"{c}_b") for c in b.columns if c != pos])
     return left.join(right, pos, "full_outer")
+
+
+def members(rows: DataFrame, known: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows whose key is known; a key that repeats on the other side doesn't repeat rows."""
+    return rows.join(known, key, "left_semi")

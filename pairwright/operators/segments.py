@@ -66,19 +66,24 @@ def pack(rows: DataFrame, order: str, tokens: str, width: int) -> DataFrame:
 
     Offsets come from running sums in two steps: within ranges of the order
     column, and over the sums of the ranges (``MOST_RANGES`` of them at most), so
-    no single task sees all rows.
+    no single task sees all rows. Rows of the same order key follow each other by
+    their tokens, one by one.
     """
+    rows = rows.withColumn("_key", F.struct(F.col(order), F.xxhash64(tokens)))
+    repeats = rows.groupBy("_key", tokens).agg(F.count("*").alias("_copies"))
+    rows = repeats.select(F.col(f"_key.{order}").alias(order), "_key", tokens, "_copies")
     low, high, total = rows.agg(F.min(order), F.max(order), F.count("*")).first()
     ranges = max(1, min(MOST_RANGES, -(-total // ROWS_PER_RANGE)))
     span = (((high - low) if total else 0) + 1) / ranges
-    sizes = rows.select(order, F.size(tokens).alias("_n")).withColumn("_range", F.floor((F.col(order) - F.lit(low)) / span))
-    upto = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.select(order, "_key", (F.size(tokens) * F.col("_copies")).alias("_n")).withColumn("_range", F.floor((F.col(order) - F.lit(low)) / span))
+    upto = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     sums = sizes.groupBy("_range").agg(F.sum("_n").alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    placed = sizes.join(sums, "_range").select(order, (F.col("_in") + F.col("_base")).alias("_at"))
-    placed = rows.join(placed, order).select("_at", F.posexplode(tokens).alias("_i", "_token"))
+    placed = sizes.join(sums, "_range").select("_key", (F.col("_in") + F.col("_base")).alias("_at"))
+    copied = rows.select("_key", F.size(tokens).alias("_n"), tokens, F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias("_copy"))
+    placed = copied.join(placed, "_key").select((F.col("_at") + F.col("_copy") * F.col("_n")).alias("_at"), F.posexplode(tokens).alias("_i", "_token"))
     placed = placed.withColumn("_place", F.col("_at") + F.col("_i"))
     return (
         placed.groupBy(F.floor(F.col("_place") / width).cast("long").alias("row_no"))

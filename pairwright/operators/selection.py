@@ -13,8 +13,10 @@ def hash_order(seed: str, *columns: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]).cast("binary"), 256)
 
 
-def first_per_cell(rows: DataFrame, cell: list[str], seed: str, key: list[str], k: int) -> DataFrame:
-    """The ``k`` rows of each cell that come first in hash order, with their place (from 1)."""
+def first_per_cell(rows: DataFrame, cell: list[str], seed: str, key: list[str], k: int, strict: bool = False) -> DataFrame:
+    """The ``k`` rows of each cell that come first in hash order, with their place (from 1). ``strict`` fails on a cell that has fewer."""
+    if strict and (short := rows.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") < k).limit(1).collect()):
+        raise ValueError(f"a cell has fewer than {k} rows: {short[0]}")
     w = Window.partitionBy(*cell).orderBy(hash_order(seed, *key), *key)
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -81,3 +83,13 @@ def distinct_cluster_quota(rows: DataFrame, quota_by: list[str], cluster: str, s
     across = Window.partitionBy(*quota_by).orderBy("_round", hash_order(seed, *key), *key)
     ranked = rows.withColumn("_round", F.row_number().over(inside)).withColumn("place", F.row_number().over(across))
     return ranked.where(F.col("place") <= k).drop("_round")
+
+
+def top_k(rows: DataFrame, value: str, ties: list[str], k: int) -> DataFrame:
+    """The ``k`` rows of the largest value, ties by key: a heap per task, no full sort."""
+    return rows.orderBy(F.desc(value), *ties).limit(k)
+
+
+def head_in_order(rows: DataFrame, order: DataFrame, key: str, pos: str, n: int) -> DataFrame:
+    """Rows of the first ``n`` items in the order that a table of positions gives (not in the order that rows happen to lie)."""
+    return rows.join(order.where(F.col(pos) < n).select(key, pos), key)

@@ -11,16 +11,16 @@ from pairwright.session import table
 
 
 def hash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of src0 against those of other sources, by text digest and then by opening characters."""
+    """Documents of src0 against those of other sources, by text digest and then by name (language and length)."""
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.substring("text", 1, 16).alias("name")
+        "doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.concat_ws("-", "lang", "n_chars").alias("name")
     )
     out = joins.hash_match(docs.where("source = 'src0'").drop("source"), docs.where("source <> 'src0'"), "digest", "name")
     return out.select("doc_id", "status", "n_hits")
 
 
 HASH_MATCH = """
-WITH d AS (SELECT doc_id, source, sha256(text) AS digest, substring(text, 1, 16) AS name FROM documents),
+WITH d AS (SELECT doc_id, source, sha256(text) AS digest, concat(lang, '-', n_chars) AS name FROM documents),
 g AS (SELECT digest, count(*) AS same FROM d WHERE source <> 'src0' GROUP BY digest),
 n AS (SELECT name, count(*) AS named FROM d WHERE source <> 'src0' GROUP BY name)
 SELECT doc_id, CASE WHEN same > 0 THEN 'MATCH' WHEN named > 0 THEN 'MISMATCH' ELSE 'NOT_ON_HUB' END AS status,
@@ -48,11 +48,15 @@ def _leak(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.contains_join(*_leak(spark, sf_dir))
+    """Benchmark items, and short strings (beginnings of nation names) beside them, in whole documents."""
+    bench, docs, *names = _leak(spark, sf_dir)
+    short = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("item_id"), F.lower(F.substring("n_name", 1, 3)).alias("item_text"))
+    return joins.contains_join(bench.unionByName(short), docs, *names)
 
 
 CONTAINS = """
-SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 48
+SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''
+UNION ALL SELECT n_nationkey AS item_id, doc_id FROM nation JOIN documents ON contains(text, lower(left(n_name, 3)))
 """
 
 
@@ -60,16 +64,11 @@ def ngram_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ngram_leak(*_leak(spark, sf_dir))
 
 
+#: Every run of 48 characters of every item against every document, without the engine's filter.
 NGRAM = """
 WITH g AS (SELECT DISTINCT item_id, substring(text, i, 48) AS gram
-           FROM (SELECT item_id, text, unnest(range(1, length(text) - 46)) AS i FROM benchmark WHERE length(text) >= 48)),
-s AS (SELECT DISTINCT item_id, substring(text, i, 25) AS gram
-      FROM (SELECT item_id, text, unnest(range(1, length(text) - 23)) AS i FROM benchmark WHERE length(text) >= 25)),
-d AS (SELECT DISTINCT doc_id, substring(text, i, 25) AS gram
-      FROM (SELECT doc_id, text, unnest(range(1, length(text) - 23, 24)) AS i FROM documents WHERE length(text) >= 25)),
-p AS (SELECT DISTINCT item_id, doc_id FROM s JOIN d USING (gram))
-SELECT item_id, doc_id, count(*) AS n_grams FROM p JOIN g USING (item_id) JOIN documents USING (doc_id)
-WHERE contains(documents.text, g.gram) GROUP BY item_id, doc_id
+           FROM (SELECT item_id, text, unnest(range(1, length(text) - 46)) AS i FROM benchmark WHERE length(text) >= 48))
+SELECT item_id, doc_id, count(*) AS n_grams FROM g JOIN documents ON contains(documents.text, g.gram) GROUP BY item_id, doc_id
 """
 
 

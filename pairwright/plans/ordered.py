@@ -325,24 +325,18 @@ ORACLE_SQL = {
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-time windows of one hour over the events as a stream, in update mode until the input ends (no SQL form)."""
+    """Event-time windows of one hour over the events as a stream, in update mode until the input ends."""
     import uuid
 
+    from pairwright.session import shared_folder
     from pairwright.streaming import telemetry
 
     events = table(spark, sf_dir, "events")
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="pairwright-stream-")
     stream = telemetry.stream_table(spark, f"{sf_dir}/events.parquet*", events.schema)  # one file or a folder of them
     counts = telemetry.tumbling_counts(stream, "ts", ["event_type"], "1 hour", "2 hours")
-    name = f"stream_{uuid.uuid4().hex}"
-    return telemetry.run_to_table(counts, name, f"{shared}/{name}", "complete").select(
-        F.col("start").cast("string").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value")
-    )
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = telemetry.run_updates(counts, ["start", "event_type"], f"{place}/rows", f"{place}/checkpoint")
+    return out.select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 QUERIES["stream_tumbling"] = stream_tumbling

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,5 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A local session without one gets a temporary folder; elsewhere that would
+    be a folder of one machine, so it is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pairwright-")
+    return folder
+
+
 def default_data_dir(sf: str = "sf0.001") -> str:
     return os.environ.get("PAIRWRIGHT_DATA", "/root/testdata") + f"/{sf}"

@@ -50,6 +50,11 @@ def path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
+def of_suite(rows: DataFrame, suite: str) -> DataFrame:
+    """Rows of one suite where rows name theirs; all rows of a table that has no such column."""
+    return rows.where(F.col("suite") == suite) if "suite" in rows.columns else rows
+
+
 def read_outcomes(spark: SparkSession, path: str | list[str], schema: str = OUTCOME) -> DataFrame:
     """Outcome rows of ``<label>/<suite>.jsonl`` files, with label, suite and pos (row order within the file)."""
     lines = read_lines(spark, path)
@@ -121,6 +126,31 @@ def last_per_key(lines: DataFrame, pattern: str, key_group: int, value_group: in
     return hits.groupBy("file", "key").agg(F.max_by("value", "line_no").alias("value"))
 
 
+def first_match(lines: DataFrame, pattern: str, value_group: int = 1, line: str = "line") -> DataFrame:
+    """Per file the value of the first line (by file order) that matches a pattern."""
+    hits = lines.where(F.col(line).rlike(pattern)).select("file", "line_no", F.regexp_extract(line, pattern, value_group).alias("value"))
+    return hits.groupBy("file").agg(F.min_by("value", "line_no").alias("value"))
+
+
+def verify_log(rows: DataFrame, log: str, order: str, previous: str, checksum: str, payload: list[str], heads: DataFrame) -> DataFrame:
+    """Findings of hash-chained logs: ``digest`` (the checksum isn't that of the previous one and the payload), ``link`` (previous
+    isn't the row before's checksum), and per log ``torn`` (fewer rows than its head receipt, columns log, n, checksum, says) or
+    ``head`` (the last checksum isn't the receipt's). Sound logs give no row."""
+    from pairwright.functions.text import canonical_json
+
+    body = F.concat(F.col(previous), F.lit("\n"), canonical_json(F.struct(*payload), payload))
+    w = Window.partitionBy(log).orderBy(order)
+    marked = rows.withColumn("_digest", F.sha2(body.cast("binary"), 256)).withColumn("_before", F.coalesce(F.lag(checksum).over(w), F.lit("")))
+    finding = F.when(F.col(checksum) != F.col("_digest"), "digest").when(F.col(previous) != F.col("_before"), "link")
+    bad = marked.select(log, F.col(order).cast("long").alias("at"), finding.alias("finding")).where("finding IS NOT NULL")
+    ends = rows.groupBy(log).agg(F.count("*").alias("_n"), F.max_by(checksum, order).alias("_last"))
+    told = heads.select(F.col(log), F.col("n").alias("_told"), F.col("checksum").alias("_head"))
+    held = F.coalesce("_n", F.lit(0).cast("long"))
+    state = F.when(held < F.col("_told"), "torn").when(~F.col("_last").eqNullSafe(F.col("_head")), "head")
+    tails = ends.join(told, log, "full_outer").select(log, held.alias("at"), state.alias("finding")).where("finding IS NOT NULL")
+    return bad.unionByName(tails)
+
+
 def sole_value(lines: DataFrame, pattern: str, line: str = "line") -> DataFrame:
     """Per file the one distinct value of a pattern's first group, null if there are none or several."""
     hits = lines.where(F.col(line).rlike(pattern)).select("file", F.regexp_extract(line, pattern, 1).alias("value"))

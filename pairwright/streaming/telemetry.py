@@ -61,6 +61,21 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.table(name)
 
 
+def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs all data that is there now in update mode; each batch's changed rows are one folder of Parquet, written over if the
+    batch is replayed. Returns the last row of each key, so neither a sink in memory nor the driver holds the result."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/_batch={batch}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*")
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends results exactly once to Parquet; a rerun resumes from the checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
