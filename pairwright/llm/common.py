@@ -20,13 +20,16 @@ CHUNK_BYTES = 4 << 20
 def shared_folder(df: DataFrame) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where neither that setting nor a context-level folder exists (local
-    tests) a temporary folder is set.
+    Only where neither that setting nor a context-level folder exists is one set: a temporary
+    folder in a local session; elsewhere that would be a folder of one machine, so it is an error.
     """
     context = df.sparkSession.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairwright-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pairwright-"))
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 

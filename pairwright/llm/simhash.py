@@ -204,7 +204,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     heavy = _heavy_buckets(nodes, bucket)
     # the few rows of an aggregate become 64 each, so they are dealt to all tasks first
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.repartition(spread, "fp").select("fp", F.explode(_variants()).alias("key")).join(heavy, "key", "left")
+    rows = nodes.repartition(spread).select("fp", F.explode(_variants()).alias("key")).join(heavy, "key", "left")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     pairs = F.when(
         F.col("blocks").isNotNull(),

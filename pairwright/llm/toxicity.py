@@ -11,9 +11,10 @@ ones), calibrated to a probability on labelled texts that the dictionaries
 didn't see.
 
 Training: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled rows that aren't held
-out, in hash order, of at most ``MAX_TRAIN_TEXT`` bytes each and
-``MAX_TRAIN_BYTES`` in all.
-Scoring reads every window of every whole text.
+out, in hash order. Of a text over ``MAX_TRAIN_TEXT`` bytes blocks of ``BLOCK_WORDS``
+words from all over it, in hash order, up to that size take part; the common part is trained on
+``COMMON_WINDOWS`` distinct windows in hash order. These bound the driver's memory; they are
+parameters of the fit alone. Scoring reads every window of every whole text.
 
 Edge cases: null and empty texts have one empty window and get a score; with
 labels of one class only every score is that class's share, with none 0.5;
@@ -23,6 +24,7 @@ are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -36,7 +38,8 @@ from .common import extend, fit_logistic, labelled_sample, logistic, map_chunks,
 
 WINDOW_WORDS = 8
 MAX_TOXIC, MAX_ORDINARY = 1500, 5000
-MAX_TRAIN_TEXT, MAX_TRAIN_BYTES = 256 << 10, 48 << 20
+MAX_TRAIN_TEXT, BLOCK_WORDS = 32 << 10, 64
+COMMON_WINDOWS = 80_000
 COMMON_BYTES, OWN_BYTES = 60_000, 1_500
 LEAST_CONTEXTS, LEAST_RATIO = 4, 5.0
 STEMS = (4, 5, 6)
@@ -118,7 +121,7 @@ def train_compressors(toxic: list[bytes], ordinary: list[bytes]) -> Compressors:
     own = {w for w, k in ours.items() if k >= least and k / n > LEAST_RATIO * (theirs.get(w, 0) + 1) / m}
     mine = [dict.fromkeys(w for w in t.lower().split() if not own.isdisjoint(_keys(w))) for t in toxic]
     only = [b" " + b" ".join(words) + b" " for words in mine]
-    shared = [w for t in ordinary for w in windows(t, 12)][:80_000]
+    shared = sorted({w for t in ordinary for w in windows(t, 12)}, key=lambda w: (zlib.crc32(w), w))[:COMMON_WINDOWS]
     return Compressors(_trained(shared, COMMON_BYTES), _trained(only, OWN_BYTES))
 
 
@@ -135,16 +138,29 @@ class ToxicityModel:
         return logistic(x, self.weights)
 
 
+def training_text(text: bytes) -> bytes:
+    """A text to learn from: itself, or of a long one blocks from all over it in the order of their hashes, then as they stand."""
+    if len(text) <= MAX_TRAIN_TEXT:
+        return text
+    blocks = windows(text, BLOCK_WORDS)
+    order = sorted(range(len(blocks)), key=lambda i: (zlib.crc32(blocks[i]), i))
+    sizes = np.cumsum([len(blocks[i]) for i in order])
+    return b"".join(blocks[i] for i in sorted(order[: max(1, int(np.searchsorted(sizes, MAX_TRAIN_TEXT)))]))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, label: str, value: int, limit: int) -> list[bytes]:
-    rows = labelled_sample(docs, labels.where(F.col(label) == value), label, limit)
-    rows = rows.where(F.octet_length("text") <= MAX_TRAIN_TEXT).select("sample_id", F.col("text").cast("binary").alias("text"))
-    found, total = [], 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["sample_id"], bytes(r["text"]))):
-        total += len(r["text"])
-        if total > MAX_TRAIN_BYTES:
-            break
-        found.append(bytes(r["text"]))
-    return found
+    """Training texts of one class: ``limit`` of ``MAX_TRAIN_TEXT`` bytes at most, whatever the corpus."""
+    rows = labelled_sample(docs, labels.where(F.col(label) == value), label, limit).select("sample_id", "text")
+
+    def make():
+        def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+            cut = pa.array([training_text(t) for t in texts_of(piece)], pa.binary())
+            return pa.RecordBatch.from_arrays([piece.column("sample_id"), cut], ["sample_id", "cut"])
+
+        return work
+
+    found = map_chunks(rows, make, extend(rows.select("sample_id").schema, "cut binary"))
+    return [bytes(r["cut"]) for r in sorted(found.toLocalIterator(), key=lambda r: (r["sample_id"], bytes(r["cut"])))]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel:
