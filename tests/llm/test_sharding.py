@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairwright.llm import sharding
 
@@ -12,16 +13,21 @@ def place(df, **options):
     return sharding.hypergeometric_shuffle(df, **options).collect()
 
 
-def test_contract(spark):
-    got = place(documents(spark), shards=4)
-    want = sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts())
-    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == want
-    sizes = {}
+def slow(rows, shards):
+    """What any shuffle into these shards must give, whatever its order: sizes, checksums, full shards and slots."""
+    sums = sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    sizes = sorted(len(rows) // shards + (k < len(rows) % shards) for k in range(shards))
+    return sums, [sorted(range(n)) for n in sizes]
+
+
+@pytest.mark.parametrize("shards", [1, 4, 16, 40])
+def test_contract(spark, shards):
+    got = place(documents(spark), shards=shards)
+    slots = {k: [] for k in range(shards)}
     for r in got:
-        sizes.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in sizes.values())
-    counts = [len(sizes.get(k, [])) for k in range(4)]
-    assert max(counts) - min(counts) <= 1
+        slots[r.shard].append(r.slot)
+    rows = sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got)
+    assert (rows, sorted(map(sorted, slots.values()), key=len)) == slow(texts(), shards)
 
 
 def test_exact_sizes_over_many_buckets(spark, monkeypatch):
@@ -39,6 +45,13 @@ def test_exact_sizes_over_many_buckets(spark, monkeypatch):
     assert abs(np.corrcoef(ids, shard)[0, 1]) < 0.06
 
 
+def test_one_row_repeated_many_times_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 50)
+    got = place(spark.range(2000).selectExpr("7L as doc_id", "'same' as text"))
+    counts = np.bincount([r.shard for r in got], minlength=16)
+    assert (counts == 125).all() and len({(r.shard, r.slot) for r in got}) == 2000
+
+
 def test_matrix_margins_and_law():
     columns = sharding.shard_sizes(103, 5)
     total = np.zeros((3, 5))
@@ -51,12 +64,32 @@ def test_matrix_margins_and_law():
     assert huge.sum() == 4 * 10**9 and (huge.sum(axis=0) == 10**9).all()
 
 
+@pytest.mark.parametrize("urn", [(6, 5, 4), (40, 2, 30), (3, 90, 60), (1000, 3000, 700), (5, 0, 3), (0, 5, 3), (7, 7, 14)])
+def test_draws_by_inversion_follow_the_law(urn):
+    import math
+
+    good, bad, drawn = urn
+    n, generator = 20_000, np.random.default_rng(2)
+    got = np.bincount([sharding._by_inversion(generator, good, bad, drawn) for _ in range(n)], minlength=good + 1)
+    want = np.array([math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) if 0 <= drawn - k <= bad else 0.0 for k in range(good + 1)])
+    assert got[want == 0].sum() == 0
+    assert (np.abs(got / n - want) < 5 * np.sqrt(want * (1 - want) / n) + 1e-4).all()
+
+
+def test_draws_from_a_huge_urn():
+    generator = np.random.default_rng(3)
+    good, bad, drawn = 10**11, 15 * 10**11, 10**6
+    got = np.array([sharding.draw(generator, good, bad, drawn) for _ in range(400)])
+    assert abs(got.mean() - 62_500) < 60 and 200 < got.std() < 290
+
+
 def test_write(spark, tmp_path):
-    docs = documents(spark)
+    docs = documents(spark).withColumn("shard", F.lit("theirs")).withColumn("copy", F.lit(1)).withColumn("row", F.lit(2)).withColumn("id", F.lit(3))
     sharding.write_shards(docs, str(tmp_path / "s"), 3)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == len(texts()) - 1 or back.count() == len(texts())
-    assert sorted({r.shard for r in back.collect()}) == [0, 1, 2]
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    order = lambda r: (r[0] or -1, r[1] or "", r[1] is None)
+    assert sorted([(r.doc_id, r.text) for r in back], key=order) == sorted(texts(), key=order)
+    assert sorted({r.shard for r in back}) == [0, 1, 2] and {(r.shard_in, r.copy, r.row, r.id) for r in back} == {("theirs", 1, 2, 3)}
 
 
 def test_empty(spark):
