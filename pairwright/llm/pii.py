@@ -1,13 +1,16 @@
 """Personal data by weak supervision.
 
 Base spans follow fixed patterns (email, ip, card, phone) and always stay.
-Further candidates come from looser patterns: addresses with written-out "at"
-and "dot", and telephone numbers without a plus sign. Labelers (strict pattern,
-gazetteer, words around, shape, surroundings) vote yes, no or nothing on every
+Further candidates of all kinds come from looser patterns: addresses with written-out "at"
+and "dot", network addresses with brackets around their dots or of version 6, card numbers with
+other separators, telephone numbers without a plus sign, and a kind of its own, secret: runs of
+letters and digits such as keys and passwords. Labelers (strict pattern,
+gazetteer, words around, shape, surroundings, marks) vote yes, no or nothing on every
 candidate. Expectation-maximisation over the counts of vote patterns estimates
 each labeler's reliability per kind, and its posteriors are the soft labels of
-a final logistic span classifier over the candidates' features; loose
-candidates it accepts are added.
+a final logistic span classifier. Its features are of the span itself and the characters beside it
+(length, shares of digits and capitals, variety of characters, kinds of the neighbouring
+characters), beside the labelers' signs; loose candidates it accepts are added.
 
 Votes and features are small discrete tuples, so the corpus is summed up as
 counts per tuple: all candidates of all texts count, and what reaches the
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, extend, fit_logistic, logistic, map_chunks, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: With the kind that has loose candidates only; it comes last in order.
+ALL_KINDS = (*KINDS, "secret")
 # Gazetteers and context words of the labelers.
 DOMAINS = frozenset("com org net edu gov io co uk de fr es eu info biz us ca mail example gmail yahoo".split())
 CONTEXT = {
@@ -41,7 +46,9 @@ CONTEXT = {
     "ip": frozenset("ip host server address login connect ping network".split()),
     "card": frozenset("card visa mastercard amex credit payment pay debit account tarjeta karte carte".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax contact whatsapp dial telefon telefono".split()),
+    "secret": frozenset("password passwd pwd token secret key apikey api auth bearer credential access passwort contraseña".split()),
 }
+SECRET_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xox", "AIza")
 AGAINST = frozenset("version isbn issn id no number page pages total price sum order section".split())
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -52,6 +59,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = re.compile(r"\x20?[\(\[\{]\x20?at\x20?[\)\]\}]\x20?|\x20at\x20", re.IGNORECASE)
 _SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\x20?[\(\[\{]\x20?dot\x20?[\)\]\}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])")
+_BRACKETED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\(\[\{]\x20?(?:\.|dot)\x20?[\)\]\}]\x20?[0-9]{1,3}){3}(?![0-9.])", re.IGNORECASE)
+_IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{4}){2}[\x20./_-]{1,2}[0-9]{2,7}(?![0-9A-Za-z])")
+_KEY = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\W\d_][\w-]*")
 
@@ -128,14 +139,21 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         free = 0
         for m in _AT.finditer(text):
             start = m.start()
-            while start > max(free, m.start() - 64) and text[start - 1] in _LOCAL_CHARS:
+            # matches stand apart, so each walks over the word before it only
+            while start > free and text[start - 1] in _LOCAL_CHARS:
                 start -= 1
             domain = _SPELT.match(text, m.end()) if start < m.start() else None
             if domain:
                 found.append(("email", start, domain.end()))
                 free = domain.end()
     if _DIGIT.search(text):
+        found += [("ip", *m.span()) for p in (_BRACKETED_IP, _IP6) for m in p.finditer(text)]
+        found += [("card", *m.span()) for m in _LOOSE_CARD.finditer(text) if 14 <= sum(c.isdigit() for c in m.group()) <= 19]
         found += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text)]
+        for m in _KEY.finditer(text):
+            digits = sum(c.isdigit() for c in m.group())
+            if digits >= 2 and digits < m.end() - m.start() - 1 and sum(c.isalpha() for c in m.group()) >= 2:
+                found.append(("secret", *m.span()))
     if not found:
         return []
     starts = np.array([s for _, s, _ in taken] or [0])
@@ -148,6 +166,11 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     return kept
 
 
+def _side(c: str) -> int:
+    """Kind of a character beside a span: white space, letter, digit, or another."""
+    return 0 if c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
+
+
 def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[str, str]:
     """The votes (y, n or - per labeler) and the feature values of a candidate."""
     span = text[start:end]
@@ -166,21 +189,31 @@ def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[
         shape = len(ends_in) >= 3 and len(ends_in[-1]) in (2, 3, 4, 5, 6) and (marked or named)
     elif kind == "ip":
         gazetteer = not span.startswith(("0.", "255."))
-        shape = all(not (len(p) > 1 and p[0] == "0") for p in span.split("."))
-        marked = span.count(".") == 3
+        parts = re.findall(r"[0-9]+", span) if ":" not in span else []
+        shape = all(int(p[:4]) <= 255 and not (len(p) > 1 and p[0] == "0") for p in parts)
+        marked = span.count(".") == 3 or span.count(":") == 7
     elif kind == "card":
         gazetteer = span[0] in "3456"
         shape = digits in (14, 15, 16, 19)
         marked = luhn(re.sub(r"[^0-9]", "", span))
+    elif kind == "secret":
+        low, letters = span.lower(), sum(c.isalpha() for c in span)
+        gazetteer = span.startswith(SECRET_STARTS)
+        # letters and digits mixed throughout, as words with a number behind them aren't
+        changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
+        shape = len(span) >= 16 and changes >= 4 and digits >= 3
+        marked = edge[0] in "=\"':" or (span.isupper() and letters >= 8) or all(c in "0123456789abcdef" for c in low)
     else:
         groups = [g for g in re.split(r"[^0-9]+", span) if g]
         gazetteer = span.startswith("+") or span.startswith("(")
         shape = 9 <= digits <= 15 and len(groups) >= 2
         marked = len(set(re.sub(r"[0-9()+]", "", span).strip())) <= 2
     against = any(w in AGAINST for w in before[-2:]) or edge[0] in "$€£#="
+    if kind == "secret":
+        against = "/" in span or "--" in span or span.count("-") > 3
     votes = (
         "y" if strict else "-",
-        "y" if gazetteer else "n",
+        "y" if gazetteer else "-" if kind == "secret" else "n",
         "y" if named else "n" if kind == "email" and not marked else "-",
         "y" if shape else "n",
         "n" if against or glued else "-",
@@ -188,7 +221,8 @@ def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[
     )
     features = (
         int(strict), int(gazetteer), int(named), int(shape), int(against), int(glued), int(marked),
-        min(digits, 20) // 4, min(len(span), 48) // 8,
+        min(digits, 20) // 4, min(len(span), 48) // 8, 4 * digits // len(span), 4 * sum(c.isupper() for c in span) // len(span),
+        min(4, len(set(span)) // 4), _side(edge[0]), _side(edge[1]), int(bool(before) and before[-1] in near),
     )
     return "".join(votes), ",".join(map(str, features))
 
@@ -223,14 +257,14 @@ def estimate(patterns: list[tuple[str, str, int]], rounds: int = 200) -> tuple[d
 def train(counts: list[tuple[str, str, str, int]]) -> tuple[dict[tuple[str, str], float], dict[str, dict]]:
     """Score of the final classifier for every (kind, features) seen, and the labelers' reliabilities."""
     scores, reliability = {}, {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         own = [(votes, features, n) for k, votes, features, n in counts if k == kind]
         if not own:
             continue
         posterior, true, false = estimate(own)
         reliability[kind] = {"yes_if_true": true.tolist(), "yes_if_false": false.tolist()}
         x = np.array([[float(v) for v in f.split(",")] for _, f, _ in own])
-        x[:, 7:] /= 5.0
+        x[:, 7:] /= np.maximum(x[:, 7:].max(axis=0), 1)
         weight = np.array([float(n) for _, _, n in own])
         w = fit_logistic(x, np.array([posterior[v] for v, _, _ in own]), weight * min(1.0, 1e6 / weight.sum()), 0.02)
         for (_, features, _), score in zip(own, logistic(x, w)):
@@ -262,7 +296,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans, n_added; the classifier learns from all candidates."""
+    """doc_id, counts of base spans, base_sha256, spans, n_added, n_secret; the classifier learns from all candidates."""
     found = checkpoint(candidates(docs.select("doc_id", "text")))
     each = found.where(F.size("kinds") > 0).select(F.explode(F.arrays_zip("kinds", "votes", "features")).alias("c"))
     counts = each.groupBy("c.kinds", "c.votes", "c.features").agg(F.count("*").alias("n")).collect()
@@ -270,15 +304,15 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     accepted = {key for key, score in scores.items() if score >= threshold}
     schema = extend(
         found.select("doc_id").schema,
-        "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint",
+        "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_secret bigint",
     )
 
     def finish(batches):
         for batch in batches:
             rows = [batch.column(n).to_pylist() for n in ("kinds", "starts", "ends", "strict", "features")]
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for spans in zip(*rows):
-                spans = sorted(zip(*spans), key=lambda s: (s[1], KINDS.index(s[0])))
+                spans = sorted(zip(*spans), key=lambda s: (s[1], ALL_KINDS.index(s[0])))
                 base = [f"{k}:{a}:{b}" for k, a, b, strict, _ in spans if strict]
                 every = [f"{k}:{a}:{b}" for k, a, b, strict, f in spans if strict or (k, f) in accepted]
                 for column, kind in zip(out, KINDS):
@@ -286,7 +320,8 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 out[4].append(hashlib.sha256(",".join(base).encode()).hexdigest())
                 out[5].append(",".join(every))
                 out[6].append(len(every) - len(base))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                out[7].append(sum(1 for x in every if x.startswith("secret:")))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             arrays = [pa.array(values, kind) for values, kind in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], schema.fieldNames())
 
