@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm.common import written
+from pairwright.llm.common import discard, written
 from pairwright.llm.decontamination import drop_contaminated
 from pairwright.llm.linededup import drop_lines
 from pairwright.llm.quality import keep_good
@@ -13,27 +13,31 @@ from pairwright.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold."""
+    """Documents whose quality score reaches the threshold. A null text scores as an empty one; equal texts score alike, so
+    repeated rows stay or go together."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that repeat, or nearly repeat, an earlier line."""
+    """Texts without lines that repeat, or nearly repeat, an earlier line. Null and empty texts stay as they are; a null id
+    comes first; rows that share an id are told apart, and one of repeated rows keeps its lines."""
     return drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies: the one of the smallest id and, where rows share it, the first of them. Null and
+    empty texts are one group; rows without an id stay."""
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark. Null and empty texts hold none; rows of one text stay or go together."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    """The documents' columns with token_ids, and whether they decode to the text."""
+    """The documents' columns with token_ids, and whether they decode to the text. A null text is coded as an empty one;
+    repeated rows are coded alike."""
     coded = encode_decode(docs, read_model(model_path), keep=tuple(docs.columns))
     return coded.drop("decoded")
 
@@ -53,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
