@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -65,6 +66,16 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return pc.fill_null(batch.column(text).cast(pa.binary()), b"").to_pylist()
 
 
+def trim() -> None:
+    """Give freed memory of this worker back to the system: it stays alive, idle, while other stages need the machine's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call outside glibc
+        pass
+
+
 def map_chunks(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
@@ -80,6 +91,8 @@ def map_chunks(
             for piece in slices(batch, text, limit):
                 if (out := work(piece)) is not None:
                     yield out
+        del work
+        trim()
 
     return df.mapInArrow(run, schema)
 

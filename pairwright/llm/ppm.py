@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, extend, map_chunks, remainder, slices, texts_of, written
+from .common import discard, extend, map_chunks, remainder, slices, texts_of, trim, written
 
 START, END = 0xFE, 0xFF
 ORDER = 5
@@ -99,6 +99,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["gram", "n", "m"])
+    del held
+    trim()
 
 
 def words_of(text: bytes) -> list[bytes]:
