@@ -6,11 +6,12 @@ or one of Jaccard similarity ``SIMILARITY`` (0.8) or more. Lines without words a
 kept. Words are ordered by rarity over the whole corpus, so two lines that match
 share one of their first ``n - ceil(0.8 n) + 1`` words; positional and length
 filters drop pairs that cannot reach the overlap; so does a
-parity bitmap of the words (128 bits in two longs), whose differing bits are at most
-the differing words; pairs left are verified on the words themselves.
+parity bitmap of the words (64 bits, 128 for sets over ``SHORT`` words), whose differing
+bits are at most the differing words; pairs left are verified on the words themselves.
 
-Rarity comes from word counts in ``2**BUCKET_BITS`` hash buckets, a table of fixed size
-that goes into the plan; it orders words only, so sharing a bucket costs speed,
+Texts are cut into words once, into a table of word hashes that is deleted when the sets are made.
+Rarity is the number of lines that hold a word, counted in ``2**BUCKET_BITS`` hash buckets, a table
+of fixed size that goes into the plan; it orders words only, so sharing a bucket costs speed,
 never a match. Equal sets are one node with its first line. A word in the prefix
 of many nodes (about ``HOT`` or more) pairs each of them with its first node only; just those
 that this doesn't settle are joined in full. Which texts a verification reads is
@@ -36,6 +37,8 @@ BUCKET_BITS = 18
 HOT = 256
 SAMPLED = 4
 BITMAP_BITS = 23
+#: Sets up to this size have the first 64 bits of the parity bitmap only.
+SHORT = 64
 #: Smallest set that can match a different one: 4 of 5 words.
 LEAST = 4
 
@@ -79,52 +82,58 @@ def _constant(df: DataFrame, value: object, kind: str) -> Column:
     return written(df.sparkSession.createDataFrame([(value,)], f"value {kind}")).scalar()
 
 
-def _rarity_table(docs: DataFrame) -> Column:
-    """For each hash bucket a class from 0 (rare) to 127 by the number of its words in the corpus, in the top byte of a long."""
-    spark, size = docs.sparkSession, 1 << BUCKET_BITS
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(size - 1)).cast("int")
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc, row, line_no and the hashes of the distinct words of every line, as a table."""
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    return written(_lines(docs).select("doc", "row", "line_no", hashes.alias("hashes")))
+
+
+def _rarity_table(hashed: DataFrame) -> Column:
+    """For each hash bucket (top bits of a word's hash) the long whose exclusive or with a hash is the word's code.
+
+    A code's top byte is a class from 0 (rare) to 127 by the lines that hold the bucket's words; 56 bits of the hash follow.
+    """
+    spark, size = hashed.sparkSession, 1 << BUCKET_BITS
     counts = (
-        _lines(docs)
-        .select(F.explode(_words(F.col("line"))).alias("word"))
-        .groupBy(bucket.alias("bucket"))
+        hashed.select(F.explode("hashes").alias("word"))
+        .groupBy(F.shiftrightunsigned("word", 64 - BUCKET_BITS).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
         .select("bucket", F.least(F.lit(127), F.floor(F.log2("n") * 4)).cast("int").alias("rank"))
     )
     # the table is assembled in pieces of 512 buckets; its size never changes
     every = spark.range(size).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    bucket, kept = F.col("bucket").cast("long"), BUCKET_BITS - 8
+    top = F.shiftleft(F.coalesce("rank", F.lit(0)).cast("long"), kept).bitwiseOR(bucket.bitwiseAND(F.lit((1 << kept) - 1)))
+    mask = F.shiftleft(top.bitwiseXOR(bucket), 64 - BUCKET_BITS)
     pieces = every.groupBy(F.shiftright("bucket", 9).alias("piece")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("rank", F.lit(0)).alias("rank")))), lambda x: x["rank"]
-        ).alias("ranks")
+        F.transform(F.array_sort(F.collect_list(F.struct("bucket", mask.alias("mask")))), lambda x: x["mask"]).alias("masks")
     )
-    ranks = [r << 56 for row in sorted(pieces.collect(), key=lambda row: row["piece"]) for r in row["ranks"]]
-    return _constant(docs, ranks, "array<bigint>")
+    masks = [m for row in sorted(pieces.collect(), key=lambda row: row["piece"]) for m in row["masks"]]
+    return _constant(hashed, masks, "array<bigint>")
 
 
-def _codes(line: Column, ranks: Column) -> Column:
-    """The line's distinct words as numbers, rarest first: rarity class, then 56 bits of the word's hash.
+def _codes(hashes: Column, ranks: Column) -> Column:
+    """A line's distinct words as numbers, rarest first: rarity class, then 56 bits of the word's hash.
 
     ``ranks`` is named once, so that the optimizer puts the subquery in its place and no row carries it.
     """
 
     def code(h: Column) -> Column:
+        mask = F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
         # never null, so that arrays of codes are sorted as plain longs
-        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")), F.lit(0).cast("long"))
-        return rank.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        return F.coalesce(mask.bitwiseXOR(h), F.lit(0).cast("long"))
 
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
+    return F.sort_array(F.transform(hashes, code))
 
 
-def _parity(half: int):
-    """Fold that flips one of 128 bits for each word; this half of 64. Two sets' bits differ in no more places than their words do."""
+def _flip(bits: Column, code: Column) -> Column:
+    """Fold that flips one of 64 bits for each word. Two sets' bits differ in no more places than their words do."""
+    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(code)))
 
-    def flip(bits: Column, code: Column) -> Column:
-        mine = (F.bitwise_not(code) if half else code).bitwiseAND(F.lit(1))
-        place = F.shiftright(code, 20).bitwiseAND(F.lit(63)).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", mine, place))
 
-    return flip
+def _flip_half(bits: Column, code: Column) -> Column:
+    """The same for about half of the words: with those flipped here and the others, a set has 128 bits."""
+    return bits.bitwiseXOR(F.call_function("shiftleft", code.bitwiseAND(F.lit(1)), F.hash(code)))
 
 
 def _bit(id_col: str) -> Column:
@@ -219,7 +228,9 @@ def _reach() -> Column:
     """a is earlier than b; the first shared word of a pair bounds its overlap, the bits its difference."""
     both = F.col("a_n") + F.col("b_n")
     left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) + F.bit_count(F.col("a_more_bits").bitwiseXOR(F.col("b_more_bits")))
+    bits = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    half = F.col("a_more_bits").bitwiseXOR(F.col("b_more_bits"))  # null unless both are long
+    apart = F.bit_count(bits.bitwiseXOR(F.coalesce(half, F.lit(0).cast("long")))) + F.coalesce(F.bit_count(half), F.lit(0))
     return (F.col("a_id") < F.col("b_id")) & (left * 9 >= both * 4) & (apart * 9 <= both)
 
 
@@ -271,9 +282,10 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def _removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, row, line_no and exact of every removed line, for rows from ``_keyed``."""
     docs = docs.select("doc", "row", "text")
-    codes = _lines(docs).select("doc", "row", "line_no", "line", _rarity_table(docs).alias("ranks"))
-    codes = codes.select("doc", "row", "line_no", _codes(F.col("line"), F.col("ranks")).alias("codes"))
-    n = F.size("codes")
+    hashed = _hashed(docs)
+    codes = hashed.select("doc", "row", "line_no", "hashes", _rarity_table(hashed).alias("ranks"))
+    codes = codes.select("doc", "row", "line_no", _codes(F.col("hashes"), F.col("ranks")).alias("codes"))
+    n, none = F.size("codes"), F.lit(0).cast("long")
     # lines without words are dropped after the write: a filter here would make every line's codes twice
     lines = written(
         codes.select(
@@ -283,13 +295,14 @@ def _removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
             n.alias("n"),
             F.xxhash64("codes").alias("k1"),
             F.xxhash64("codes", F.lit(1)).alias("k2"),
-            F.aggregate("codes", F.lit(0).cast("long"), _parity(0)).alias("bits"),
-            F.aggregate("codes", F.lit(0).cast("long"), _parity(1)).alias("more_bits"),
+            F.aggregate("codes", none, _flip).alias("bits"),
+            F.when(n > SHORT, F.aggregate("codes", none, _flip_half)).alias("more_bits"),
             F.transform(
                 F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1), lambda c: F.hash(c)
             ).alias("prefix"),
         )
     ).where("n > 0")
+    discard(hashed)
     order = _order(lines)
     nodes = written(lines.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min(order.line).alias("id")))
     release(docs)
@@ -309,7 +322,8 @@ def line_report(docs: DataFrame) -> DataFrame:
         F.count_if(~F.col("exact")).alias("n_near"),
         F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("numbers"),
     )
-    n_lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
     rows = docs.select("in.doc_id", "doc", "row", n_lines.alias("n_lines")).join(gone, same, "left")
     zero = F.lit(0).cast("long")
