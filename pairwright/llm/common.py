@@ -146,14 +146,38 @@ def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back by the columns that are needed."""
+    """``df`` as a Parquet table in the shared folder, read back by the columns that are needed.
+
+    What nobody discards, as a result still to be read needs it, goes when the driver's JVM ends.
+    """
     path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(folder)
     table = df.sparkSession.read.parquet(path)
     table.written_path = path
     return table
 
 
+def ordered(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``in`` (a struct of all columns of ``docs``), text, and seq: a long that differs for each row and follows the id's order.
+
+    A null id comes first; rows of the same id follow one another in no particular order. Where ids are whole numbers and none
+    is null or repeats, seq is the id; otherwise rows are written with a number, and the sorted ids give it its place.
+    """
+    rows = docs.select(F.struct("*").alias("in"), F.col(text).alias("text"))
+    key = F.col(f"in.`{id_col}`")
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        odd = docs.groupBy(F.col(id_col).alias("key")).agg(F.count("*").alias("n")).where("n > 1 OR key IS NULL")
+        if odd.isEmpty():
+            return rows.withColumn("seq", key.cast("long"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    placed = rows.select(key.alias("key"), "row").orderBy(F.col("key").asc_nulls_first(), "row")
+    # partitions of a sorted table are in order, and so are these numbers
+    placed = written(placed.select(F.col("row").alias("placed"), F.monotonically_increasing_id().alias("seq")))
+    return rows.join(placed, F.col("row") == F.col("placed")).select("in", "text", "seq")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of ``written`` tables that no plan still to run reads."""
     for table in tables:

@@ -89,6 +89,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeat_report
+
+    return repeat_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_line_dedup": op2_line_dedup,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op12_repeats": op12_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,5 +172,22 @@ ids AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
        sha256(coalesce(ids.s, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN places USING (r) LEFT JOIN ids USING (r)
+""",
+    # every window as a string, numbered by place among its equals
+    "op12_repeats": r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, list_aggregate(w[i:i + 19], 'string_agg', ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM doc WHERE len(w) >= 20)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS rest
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
 """,
 }
