@@ -95,6 +95,12 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_read(spark, sf_dir, "documents"))
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import rank_documents
+
+    return rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_line_dedup": op2_line_dedup,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op12_repeats": op12_repeats,
+    "op13_ranked": op13_ranked,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -189,5 +196,28 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(rest, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (doc_id)
+""",
+    # every document's score for every item
+    "op13_ranked": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+stats AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM doc WHERE len(w) > 0),
+item AS (
+  SELECT row_number() OVER () AS q, item_id,
+         list_distinct(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+asked AS (SELECT q, unnest(w) AS term FROM item),
+post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM doc) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM post, stats GROUP BY term, docs),
+part AS (
+  SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(doc.w) * docs) // words))) AS points
+  FROM post JOIN weighed USING (term) JOIN doc USING (r), stats),
+scored AS (SELECT q, r, CAST(sum(points) AS BIGINT) AS score FROM asked JOIN part USING (term) GROUP BY q, r HAVING sum(points) > 0),
+ranked AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored JOIN doc USING (r))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN item USING (q) WHERE rank <= 10
 """,
 }
