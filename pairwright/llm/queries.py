@@ -89,6 +89,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_conversations
+
+    return repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import repeat_report
 
@@ -113,10 +119,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_conversations": op11_conversations,
     "op12_repeats": op12_repeats,
     "op13_ranked": op13_ranked,
 }
 
+def _repair_sql() -> str:
+    """Conversations by a recursive fold: cost, audit and lines of the best way into each state, row after row."""
+
+    def way(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        lines = f"{state}.o" if line is None else f"list_append({state}.o, {line})"
+        return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', o := {lines})"
+
+    def states(nothing: str, system: str, user: str, assistant: str) -> str:
+        return f"[{nothing}, {system}, {user}, {assistant}]"
+
+    def bound(value: str, body: str) -> str:
+        return f"list_transform([{value}], lambda l: {body})[1]"
+
+    insert = [way(f"l[{k}]", "5", "I", "'user:'") for k in (1, 2, 4)]
+    closed = states("l[1]", "l[2]", f"list_min([l[3], {', '.join(insert)}])", f"list_min([l[4], {way('l[3]', '5', 'I', chr(39) + 'assistant:' + chr(39))}])")
+
+    def keep(k: int, initial: str) -> str:
+        return way(f"l[{k}]", f"(CASE WHEN must OR initial <> '{initial}' THEN 1000000 ELSE extra END)", "K", "role || ':' || text")
+
+    def rerole(k: int, to: str) -> str:
+        return way(f"l[{k}]", "(CASE WHEN must THEN 1000000 ELSE extra + 1 END)", "R", f"'{to}:' || text")
+
+    gone = [way(f"l[{k}]", "2", "D") for k in (1, 2, 3, 4)]
+    to_user = [f(k, x) for k in (1, 2, 4) for f, x in ((keep, "u"), (rerole, "user"))]
+    step = states(gone[0], f"list_min([{gone[1]}, {keep(1, 's')}])", f"list_min([{gone[2]}, {', '.join(to_user)}])", f"list_min([{gone[3]}, {keep(3, 'a')}, {rerole(3, 'assistant')}])")
+
+    def inserted(value: str) -> str:
+        return bound(bound(bound(value, closed), closed), closed)
+
+    start = "struct_pack(c := 0, a := '', o := CAST([] AS VARCHAR[]))"
+    none = "struct_pack(c := 1000000, a := '', o := CAST([] AS VARCHAR[]))"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+coded AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(name, ''),
+              lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+            lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295) % 20 AS code FROM given),
+hurt AS (
+  SELECT conv, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS pos, rtrim(text, {white}) AS bare FROM hurt),
+faulty AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS late,
+         role[1] || lead(role[1]) OVER (PARTITION BY conv ORDER BY pos) AS pair FROM placed),
+line AS (
+  SELECT *, NOT blank AND NOT late AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM faulty),
+row AS (SELECT conv, pos, role, text, role[1] AS initial, blank OR late AS must, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM line),
+sums AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (late) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS rows FROM line GROUP BY conv),
+walk AS (
+  SELECT conv, CAST(0 AS BIGINT) AS pos, {inserted(states(start, none, none, none))} AS l FROM sums
+  UNION ALL
+  SELECT w.conv, w.pos + 1, {inserted(bound("w.l", step))} FROM walk w JOIN row r ON r.conv IS NOT DISTINCT FROM w.conv AND r.pos = w.pos + 1),
+best AS (SELECT w.conv, list_min([l[1], l[4]]) AS b FROM walk w JOIN sums s ON s.conv IS NOT DISTINCT FROM w.conv AND s.rows = w.pos)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN sums ON sums.conv IS NOT DISTINCT FROM i.conv_id LEFT JOIN best ON best.conv IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     # lines by word sets; pairs that share one of their rarest words, compared on all words
     "op2_line_dedup": r"""
@@ -180,6 +257,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(places.n, 0) AS n_hit
        sha256(coalesce(ids.s, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN places USING (r) LEFT JOIN ids USING (r)
 """,
+    "op11_conversations": _repair_sql(),
     # every window as a string, numbered by place among its equals
     "op12_repeats": r"""
 WITH doc AS (
