@@ -160,7 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
         return work
 
     sample = labelled_sample(docs, labels, label, max_train)
-    rows = map_chunks(sample, make, "sample_id bigint, label int, x array<double>").toPandas()
+    rows = map_chunks(sample, make, extend(sample.select("sample_id", "label").schema, "x array<double>")).toPandas()
     rows = rows.sort_values("sample_id", kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     return Discriminant.fit(x, rows["label"].to_numpy(dtype=np.int64))

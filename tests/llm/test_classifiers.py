@@ -79,3 +79,13 @@ def test_keep_good_keeps_columns(spark):
     docs = documents(spark)
     out = quality.keep_good(docs, labels(spark, [(i, 1, 0) for i in range(1, 10)]))
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+@pytest.mark.parametrize("classify", [quality.classify_quality, toxicity.classify_toxicity])
+def test_string_ids(spark, classify):
+    """An id of another type changes neither the sample's kind of rows nor the result's columns."""
+    docs = documents(spark).where("doc_id IS NOT NULL").withColumn("doc_id", F.format_string("d%03d", "doc_id"))
+    marks = spark.createDataFrame([(f"d{i:03d}", i % 2, i % 2) for i in range(1, 13)], "doc_id string, quality int, toxic int")
+    got = classify(docs, marks)
+    assert got.dtypes[0] == ("doc_id", "string") and got.count() == docs.count()
+    assert quality.keep_good(docs, marks, 0.0).count() == docs.count()

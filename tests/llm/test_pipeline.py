@@ -68,3 +68,13 @@ def test_stages_against_brute_force_on_planted_rows(spark):
     want = [(d, t) for d, t in now if not test_decontamination.slow(t, items)[4]]
     assert sorted([(r.doc_id, r.text) for r in clean.collect()], key=order) == sorted(want, key=order)
     assert clean.columns == docs.columns
+
+
+def test_tokenize_with_clashing_names(spark):
+    from .messy import documents
+
+    docs = documents(spark).selectExpr("*", "doc_id AS token_ids", "lang AS Decoded", "1 AS new_round_trip")
+    got = corpus_pipeline.tokenize(spark, docs, DATA)
+    assert got.columns == [*docs.columns, "new_new_token_ids", "new_new_round_trip"]
+    rows = got.select("doc_id", "token_ids", "Decoded", "new_round_trip").collect()
+    assert all(r.doc_id == r.token_ids and r.Decoded == "en" and r.new_round_trip == 1 for r in rows)
