@@ -36,10 +36,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    """The documents' columns with token_ids, and whether they decode to the text. A null text is coded as an empty one;
-    repeated rows are coded alike."""
-    coded = encode_decode(docs, read_model(model_path), keep=tuple(docs.columns))
-    return coded.drop("decoded")
+    """The documents' columns with token_ids, and round_trip: whether they decode to the text. A null text is coded as an empty
+    one; repeated rows are coded alike. Where a document column has one of these names, or the name decoded, ours begin with "new_"."""
+    prefix, held = "", {c.lower() for c in docs.columns}
+    while held & {f"{prefix}{n}" for n in ("token_ids", "decoded", "round_trip")}:
+        prefix += "new_"
+    coded = encode_decode(docs, read_model(model_path), keep=tuple(docs.columns), prefix=prefix)
+    return coded.drop(f"{prefix}decoded")
 
 
 STAGES = [
