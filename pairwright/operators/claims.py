@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.statistics import fisher_p, mcnemar_p, rate
 from pairwright.operators.aggregates import nearest_rank_counts, recovered_count
+from pairwright.operators.folds import ordered_digests
 
 
 def _share(hits: Column, of: Column) -> Column:
@@ -342,11 +343,9 @@ def length_prefixed(value: Column) -> Column:
 
 
 def ordered_digest(rows: DataFrame, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """sha-256 of a group's rows in order, every field length-prefixed. A group's frames are gathered, so groups are files or cells."""
-    frame = F.concat(*[length_prefixed(F.col(f)) for f in fields])
-    held = F.array_sort(F.collect_list(F.struct(*order, frame.alias("_frame"))))
-    joined = F.unhex(F.array_join(F.transform(held, lambda x: F.hex(x["_frame"])), ""))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("sha256"))
+    """sha-256 of a group's rows in order, every field length-prefixed, as a running hash over sorted rows."""
+    framed = rows.withColumn("_frame", F.concat(*[length_prefixed(F.col(f)) for f in fields]))
+    return ordered_digests(framed, by, order, "_frame")
 
 
 def response_audit(intents: DataFrame, terminals: DataFrame, responses: DataFrame, key: str) -> DataFrame:

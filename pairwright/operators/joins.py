@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 25
@@ -101,10 +101,22 @@ def hash_match(local: DataFrame, hub: DataFrame, digest: str, name: str) -> Data
 
 
 def nearest_position(marks: DataFrame, tokens: DataFrame, by: str, mark: str, token: str, value: str) -> DataFrame:
-    """For each mark the token nearest to its offset within the same text; ties take the lower offset."""
-    joined = marks.join(tokens, by)
-    nearest = F.min_by(F.struct(token, value), F.struct(F.abs(F.col(mark) - F.col(token)), F.col(token)))
-    return joined.groupBy(by, mark).agg(nearest.alias("_t")).select(by, mark, f"_t.{token}", f"_t.{value}")
+    """For each mark the token nearest to its offset within the same text; ties take the lower offset, and of tokens of one offset the
+    least value. Both sides are sorted together by text and offset; a mark looks at the token before and the one after."""
+    none = F.lit(None).cast(tokens.select(F.struct(F.col(token).alias("at"), F.col(value).alias("v"))).schema[0].dataType)
+    once = tokens.where(F.col(token).isNotNull()).groupBy(by, token).agg(F.min(value).alias("v"))
+    held = once.select(by, F.col(token).alias("pos"), F.lit(0).alias("side"), F.struct(F.col(token).alias("at"), "v").alias("tok"))
+    asked = marks.where(F.col(mark).isNotNull()).select(by, F.col(mark).alias("pos")).distinct().select(by, "pos", F.lit(1).alias("side"), none.alias("tok"))
+    both = held.unionByName(asked)
+    upto = Window.partitionBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    # looking on is looking back in falling order; a frame to the end would be summed anew for each row
+    found = both.withColumn("low", F.last("tok", True).over(upto.orderBy("pos", "side"))).withColumn(
+        "high", F.last("tok", True).over(upto.orderBy(F.desc("pos"), "side"))
+    )
+    lower = F.col("high").isNull() | (F.col("pos") - F.col("low.at") <= F.col("high.at") - F.col("pos"))
+    found = found.where("side = 1").withColumn("_t", F.when(F.col("low").isNotNull() & lower, F.col("low")).otherwise(F.col("high")))
+    found = found.where("_t IS NOT NULL")
+    return found.select(by, F.col("pos").alias(mark), F.col("_t.at").alias(token), F.col("_t.v").alias(value))
 
 
 def ledger_audit(intents: DataFrame, terminals: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Segments, fold_sorted
+
 
 def budget_segments(sizes: Column, budget: int) -> Column:
     """Cuts an array of sizes greedily: a segment takes elements until it has reached the budget.
@@ -36,25 +38,11 @@ def budget_segments(sizes: Column, budget: int) -> Column:
 def segment_turns(
     turns: DataFrame, conversation: str, turn: str, text: str, budgets: dict[str, int], least_turns: int = 3, least_share: float = 0.6
 ) -> DataFrame:
-    """Non-overlapping windows of turns per budget; kept with enough turns and characters."""
-    ordered = turns.groupBy(conversation).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("o"), F.coalesce(text, F.lit("")).alias("x")))).alias("t")
-    )
-    out = None
-    for name, budget in budgets.items():
-        sizes = F.transform("t", lambda x: F.char_length(x["x"]).cast("bigint"))
-        one = ordered.select(conversation, "t", F.lit(name).alias("stratum"), F.explode(budget_segments(sizes, budget)).alias("s"))
-        one = one.where((F.col("s.stop") - F.col("s.start") >= least_turns) & (F.col("s.chars") >= budget * least_share))
-        out = one if out is None else out.unionByName(one)
-    body = F.array_join(F.transform(F.slice("t", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")), lambda x: x["x"]), "\n\n")
-    return out.select(
-        conversation,
-        "stratum",
-        F.col("s.start").cast("long").alias("segment_start"),
-        F.col("s.stop").cast("long").alias("segment_end"),
-        (F.col("s.stop") - F.col("s.start")).cast("long").alias("n_msgs"),
-        F.trim(body).alias("text_o"),
-    )
+    """Non-overlapping windows of turns per budget, kept with enough turns and characters. Turns stream through in order; a task holds
+    one open segment a budget."""
+    rows = turns.withColumn("_text", F.coalesce(text, F.lit("")))
+    out = "stratum string, segment_start bigint, segment_end bigint, n_msgs bigint, text_o string"
+    return fold_sorted(rows, [conversation], [turn, "_text"], ["_text"], lambda: Segments(budgets, least_turns, least_share), out)
 
 
 ROWS_PER_RANGE = 100_000

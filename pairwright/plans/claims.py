@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions import arrays
 from pairwright.functions import text as tx
-from pairwright.operators import aggregates, claims, integrity, joins, selection, timeseries
+from pairwright.functions.canonical import canonical_row
+from pairwright.operators import aggregates, claims, folds, integrity, joins, selection, timeseries
 from pairwright.plans.paired import _P
 from pairwright.session import table
 
@@ -597,20 +600,19 @@ def log_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairwright.sources.readers import verify_log
 
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    rows = rows.groupBy("conv_id").agg(turns.alias("turns"))
-    start = F.expr("cast(array() as array<struct<turn:bigint,text:string,link:string,sum:string>>)")
-
-    def step(done, t):
-        # each checksum covers the one before, so a log is built by a fold
-        last = F.coalesce(F.try_element_at(done, F.lit(-1))["sum"], F.lit(""))
-        link = F.when((F.col("conv_id") % 7 == 0) & (t["turn"] == 2), "gone").otherwise(last)
-        row = F.struct(F.col("conv_id").alias("conv_id"), t["text"].alias("text"), t["turn"].alias("turn"))
-        good = F.sha2(F.concat(link, F.lit("\n"), tx.canonical_json(row, ["conv_id", "turn", "text"])).cast("binary"), 256)
-        told = F.when((F.col("conv_id") % 5 == 0) & (t["turn"] == 1), "none").otherwise(good)
-        return F.concat(done, F.array(F.struct(t["turn"].alias("turn"), t["text"].alias("text"), link.alias("link"), told.alias("sum"))))
-
-    chained = rows.select("conv_id", F.inline(F.aggregate("turns", start, step)))
+    rows = rows.withColumn("body", canonical_row(rows, ["conv_id", "turn", "text"]))
+
+    class Faulty(folds.Chain):
+        """A log whose writer forgets a link in some and writes a wrong checksum in others."""
+
+        def step(self, at: int, told: str):
+            conv = json.loads(told)["conv_id"]
+            link = "gone" if conv % 7 == 0 and at == 2 else self.last
+            self.last = "none" if conv % 5 == 0 and at == 1 else self.seal(link, told)
+            return [(at, link, self.last)]
+
+    chained = folds.chained_log(rows, ["conv_id"], "turn", "body", Faulty).withColumnRenamed("at", "turn")
+    chained = chained.join(rows.select("conv_id", "turn", "text"), ["conv_id", "turn"])
     count = chained.groupBy("conv_id").agg(F.count("*").alias("n"), F.max_by("sum", "turn").alias("checksum"))
     heads = count.select("conv_id", (F.col("n") + (F.col("conv_id") % 3 == 0).cast("int")).alias("n"), F.when(F.col("conv_id") % 3 == 1, "other").otherwise(F.col("checksum")).alias("checksum"))
     return verify_log(chained, "conv_id", "turn", "link", "sum", ["conv_id", "turn", "text"], heads)

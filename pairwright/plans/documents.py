@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions import text as tx
-from pairwright.operators import aggregates, integrity, joins, segments, selection, timeseries
+from pairwright.operators import aggregates, folds, integrity, joins, segments, selection, timeseries
 from pairwright.session import table
 
 
@@ -31,7 +31,9 @@ FROM d LEFT JOIN g USING (digest) LEFT JOIN n USING (name) WHERE source = 'src0'
 
 def set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count_distinct("source").alias("n_sources"), aggregates.set_fingerprint("doc_id").alias("ids_sha256"))
+    sources = docs.groupBy("lang").agg(F.count_distinct("source").alias("n_sources"))
+    digests = folds.set_digests(docs, ["lang"], "doc_id").select("lang", F.col("sha256").alias("ids_sha256"))
+    return sources.join(digests, "lang")
 
 
 FINGERPRINT = """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import checked_rows, line_numbers, matches, numbered
+
 #: DDL of the rows that evaluation runs write.
 OUTCOME = (
     "id STRING, correct BOOLEAN, errored BOOLEAN, truncated BOOLEAN, completion_tokens BIGINT, "
@@ -31,18 +33,26 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict:
 
 
 def bad_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Lines that don't parse, with their file and position in it (from 1)."""
-    lines = read_lines(spark, path)
-    parsed = F.from_json("line", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
-    return lines.withColumn("_row", parsed).where("_row._bad IS NOT NULL").select("file", "line_no", "line")
+    """Lines that don't parse, or aren't objects, with their file and position in it (from 1)."""
+    return checked_rows(read_lines(spark, path), schema, fail=False).where("bad").select("file", "line_no", "line")
+
+
+def read_objects(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """file, line_no and the columns of each line's object; the first line that isn't one fails the query, with its file and number."""
+    rows = checked_rows(read_lines(spark, path), schema, fail=True)
+    return rows.where(~F.col("bad")).select("file", "line_no", "row.*")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = False) -> DataFrame:
-    """file, line_no (from 1), line. Files are read whole, so positions are those of the file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("_i", "line"))
-    lines = lines.select("file", (F.col("_i") + 1).alias("line_no"), "line")
-    return lines if keep_blank else lines.where(F.trim("line") != "")
+    """file, line_no (from 1), line. Positions are those in the file, however it is split."""
+    return line_numbers(spark, path, keep_blank)
+
+
+def read_slice(spark: SparkSession, path: str | list[str], schema: str, low: int, high: int) -> DataFrame:
+    """Objects ``low`` to ``high`` (from 0, end exclusive, blank lines not counted) of each JSON Lines file, with file and pos."""
+    rows = numbered(spark, path, "pos", keep_blank=False).withColumn("pos", F.col("pos") - 1)
+    rows = rows.where((F.col("pos") >= low) & (F.col("pos") < high))
+    return rows.select("file", "pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("_row")).select("file", "pos", "_row.*")
 
 
 def path_part(path: Column, from_end: int) -> Column:
@@ -57,13 +67,11 @@ def of_suite(rows: DataFrame, suite: str) -> DataFrame:
 
 def read_outcomes(spark: SparkSession, path: str | list[str], schema: str = OUTCOME) -> DataFrame:
     """Outcome rows of ``<label>/<suite>.jsonl`` files, with label, suite and pos (row order within the file)."""
-    lines = read_lines(spark, path)
-    rows = lines.withColumn("_row", F.from_json("line", schema, {"mode": "FAILFAST"}))
-    order = Window.partitionBy("file").orderBy("line_no")
+    rows = numbered(spark, path, "_no", keep_blank=False).withColumn("_row", F.from_json("line", schema, {"mode": "FAILFAST"}))
     return rows.select(
         path_part(F.col("file"), 2).alias("label"),
         F.regexp_replace(path_part(F.col("file"), 1), r"\.jsonl$", "").alias("suite"),
-        (F.row_number().over(order) - 1).alias("pos"),
+        (F.col("_no") - 1).alias("pos"),
         "_row.*",
     )
 
@@ -91,17 +99,15 @@ def read_first_rows(spark: SparkSession, path: str, columns: list[str], n: int)
 
 def generation_rates(spark: SparkSession, path: str) -> DataFrame:
     """tokens, seconds and rate of each generation in engine logs; line breaks inside a message count as spaces."""
-    text = F.regexp_replace("value", r"\s+", " ")
     long_form = r"([0-9]+) tokens generated in ([0-9.]+) seconds \(Generate: ([0-9.]+) T/s"
-    short_form = r"(?<!prompt )eval time = *([0-9.]+) ms / *([0-9]+) (?:tokens|runs)"
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), text.alias("x"))
-    long_rows = whole.select("file", F.posexplode(F.regexp_extract_all("x", F.lit(long_form), F.lit(0))).alias("pos", "m")).select(
+    short_form = r"eval time = *([0-9.]+) ms / *([0-9]+) (?:tokens|runs)"
+    long_rows = matches(spark, path, long_form, 9).select(
         "file", "pos",
         F.regexp_extract("m", long_form, 1).cast("long").alias("tokens"),
         F.regexp_extract("m", long_form, 2).cast("double").alias("seconds"),
         F.regexp_extract("m", long_form, 3).cast("double").alias("rate"),
     )
-    short_rows = whole.select("file", F.posexplode(F.regexp_extract_all("x", F.lit(short_form), F.lit(0))).alias("pos", "m")).select(
+    short_rows = matches(spark, path, short_form, 8, unless_after="prompt").select(
         "file", "pos",
         F.regexp_extract("m", short_form, 2).cast("long").alias("tokens"),
         (F.regexp_extract("m", short_form, 1).cast("double") / 1000).alias("seconds"),
@@ -136,12 +142,13 @@ def verify_log(rows: DataFrame, log: str, order: str, previous: str, checksum: s
     """Findings of hash-chained logs: ``digest`` (the checksum isn't that of the previous one and the payload), ``link`` (previous
     isn't the row before's checksum), and per log ``torn`` (fewer rows than its head receipt, columns log, n, checksum, says) or
     ``head`` (the last checksum isn't the receipt's). Sound logs give no row."""
-    from pairwright.functions.text import canonical_json
+    from pairwright.functions.canonical import canonical_row
 
-    body = F.concat(F.col(previous), F.lit("\n"), canonical_json(F.struct(*payload), payload))
+    body = F.concat(F.col(previous), F.lit("\n"), canonical_row(rows, payload))
     w = Window.partitionBy(log).orderBy(order)
     marked = rows.withColumn("_digest", F.sha2(body.cast("binary"), 256)).withColumn("_before", F.coalesce(F.lag(checksum).over(w), F.lit("")))
-    finding = F.when(F.col(checksum) != F.col("_digest"), "digest").when(F.col(previous) != F.col("_before"), "link")
+    # a wiped checksum or link is a finding, too
+    finding = F.when(~F.col(checksum).eqNullSafe(F.col("_digest")), "digest").when(~F.col(previous).eqNullSafe(F.col("_before")), "link")
     bad = marked.select(log, F.col(order).cast("long").alias("at"), finding.alias("finding")).where("finding IS NOT NULL")
     ends = rows.groupBy(log).agg(F.count("*").alias("_n"), F.max_by(checksum, order).alias("_last"))
     told = heads.select(F.col(log), F.col("n").alias("_told"), F.col("checksum").alias("_head"))
