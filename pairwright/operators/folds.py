@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,3 +136,68 @@ class Chain(Fold):
 def chained_log(rows: DataFrame, by: list[str], order: str, body: str, make: Callable[[], Fold] = Chain) -> DataFrame:
     """``by``, at (the order), link and sum for every row of the logs ``by``."""
     return fold_sorted(rows.withColumn("_at", F.col(order).cast("bigint")), by, ["_at"], ["_at", body], make, "at bigint, link string, sum string")
+
+
+@dataclass(frozen=True)
+class ExitRule:
+    """When a trace of thought may end early.
+
+    A marker at a segment's end is probed from ``least`` used tokens on, and ``gap`` tokens after the last probe. A probe costs ``probe_tokens``
+    and is accepted by its mean probability: ``threshold`` with the rule mean; ``high``, or ``threshold``
+    and the same trial answer as the probe before, with the rule consistent. At ``force_share`` of the budget the exit is forced.
+    """
+
+    budget: int
+    threshold: float
+    least: int = 0
+    gap: int = 0
+    probe_tokens: int = 0
+    force_share: float = 0.0
+    rule: str = "mean"
+    high: float = 1.0
+
+
+class EarlyExit(Fold):
+    """A trace's segments in order, to how it ends: early_exit, forced_exit, budget, natural (its thought closes) or eos."""
+
+    def __init__(self, rule: ExitRule) -> None:
+        self.rule, self.used, self.probes, self.segments = rule, 0, 0, 0
+        self.probed, self.trial, self.end, self.thinking = None, None, None, True
+        self.force = int(rule.budget * rule.force_share) if rule.force_share > 0 else None
+
+    def step(self, tokens: int, marker: bool, closes: bool, p: float | None, trial: str | None) -> Iterable[tuple]:
+        rule = self.rule
+        if self.end is not None:
+            return ()
+        if self.used >= rule.budget:
+            self.end = "budget"
+            return ()
+        room = rule.budget - self.used
+        if self.force and self.thinking and self.used < self.force:
+            room = min(room, self.force - self.used)
+        whole, took = tokens <= room, min(tokens, room)
+        self.used, self.segments = self.used + took, self.segments + 1
+        if whole and closes:
+            self.thinking = False
+        if self.force and self.thinking and self.used >= self.force:
+            self.used, self.probes, self.end = self.used + rule.probe_tokens, self.probes + 1, "forced_exit"
+        elif whole and marker and self.thinking and self.used >= rule.least and (self.probed is None or self.used >= self.probed + rule.gap):
+            self.probed, self.probes = self.used, self.probes + 1
+            self.used += rule.probe_tokens
+            sure, same = p or 0.0, self.trial is not None and trial == self.trial
+            if sure >= rule.threshold if rule.rule == "mean" else sure >= rule.high or (sure >= rule.threshold and same):
+                self.end = "early_exit"
+            self.trial = trial
+        elif not whole:
+            self.end = "budget"
+        return ()
+
+    def close(self) -> Iterable[tuple]:
+        end = self.end or ("natural" if not self.thinking else "budget" if self.used >= self.rule.budget else "eos")
+        return [("natural" if end == "budget" and not self.thinking else end, self.used, self.probes, self.segments)]
+
+
+def early_exits(rows: DataFrame, by: list[str], order: list[str], rule: ExitRule) -> DataFrame:
+    """``by`` with exit, used, n_probes and n_segments of each trace, whose segments (tokens, marker, closes, p, trial) come in ``order``."""
+    values = ["tokens", "marker", "closes", "p", "trial"]
+    return fold_sorted(rows, by, order, values, lambda: EarlyExit(rule), "exit string, used bigint, n_probes bigint, n_segments bigint")

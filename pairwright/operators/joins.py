@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pairwright.functions.folding import normalized
 
 GRAM = 25
 STRIDE = 24
-#: Sizes up to which a side travels to all tasks: characters of the small texts, candidate pairs; items in a block of the scan.
-SMALL_CHARS, PAIRS, BLOCK = 1 << 21, 1 << 18, 1024
+#: Sizes up to which a side travels to all tasks: characters of the small texts, candidate pairs, characters of an automaton.
+SMALL_CHARS, PAIRS, AUTOMATON_CHARS = 1 << 21, 1 << 18, 1 << 19
+#: Texts whose hits are sent on together.
+SCAN_ROWS = 256
 
 
 def grams(text: Column, size: int) -> Column:
@@ -52,27 +61,77 @@ def _with_texts(
     return large.select(large_id, F.col(large_text).alias("_large")).join(F.broadcast(pairs) if few else pairs, large_id)
 
 
-def contains_join(small: DataFrame, large: DataFrame, small_id: str, large_id: str, small_text: str, large_text: str) -> DataFrame:
-    """Pairs where the large text contains the whole small one, which isn't empty.
+def contains_join(
+    small: DataFrame,
+    large: DataFrame,
+    small_id: str,
+    large_id: str,
+    small_text: str,
+    large_text: str,
+    form: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Pairs where the large text contains the whole small one, which isn't empty, both in the given form (as they are without one).
 
-    Items of 48 characters or more are found by grams and verified exactly. Shorter ones are
-    looked for in every large text, ``BLOCK`` of them at a time.
+    Items of 48 characters or more are found by grams and verified exactly. Shorter ones of any length are found by an
+    automaton of all of them, in one pass over each text; where they come to more than ``AUTOMATON_CHARS``
+    characters, there are several automata, by hash, and a pass for each.
     """
     sides = small_id, large_id, small_text, large_text
+    if form is not None:
+        small = small.select(small_id, form(F.col(small_text)).alias(small_text))
+        large = large.select(large_id, form(F.col(large_text)).alias(large_text))
     held = small.where(F.char_length(small_text) > 0)
     long = held.where(F.char_length(small_text) >= GRAM + STRIDE - 1)
     found = _with_texts(leak_candidates(long, large, *sides), long, large, *sides)
     found = found.where(F.contains("_large", F.col("_small"))).select(small_id, large_id)
     short = held.where(F.char_length(small_text) < GRAM + STRIDE - 1)
-    blocks = -(-short.count() // BLOCK)
-    if not blocks:
-        return found
-    block = F.pmod(F.xxhash64(small_id, small_text), F.lit(blocks)).cast("int").alias("_block")
-    lists = short.groupBy(block).agg(F.collect_list(F.struct(F.col(small_id).alias("id"), F.col(small_text).alias("x"))).alias("_items"))
-    rows = large.select(large_id, F.col(large_text).alias("_large"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    met = rows.join(lists, "_block") if blocks > 1 else rows.join(F.broadcast(lists), "_block")
-    hits = met.select(large_id, F.explode(F.filter("_items", lambda i: F.contains(F.col("_large"), i["x"]))).alias("_hit"))
-    return found.unionAll(hits.select(F.col("_hit.id").alias(small_id), large_id))
+    texts = short.select(F.col(small_text).alias("_x")).distinct()
+    blocks = -(-(texts.agg(F.sum(F.char_length("_x"))).first()[0] or 0) // AUTOMATON_CHARS)
+    for block in range(blocks):
+        own = texts.where(F.pmod(F.xxhash64("_x"), F.lit(blocks)) == block)
+        hits = _scan_for([r[0] for r in own.collect()], large, large_id, large_text)
+        found = found.unionByName(hits.join(short.withColumnRenamed(small_text, "_x"), "_x").select(small_id, large_id))
+    return found
+
+
+def _scan_for(items: list[str], large: DataFrame, large_id: str, large_text: str) -> DataFrame:
+    """Rows (large_id, _x) for each of ``items`` that a text contains, once a text."""
+    shared = large.sparkSession.sparkContext.broadcast(items)
+    rows = large.where(F.col(large_text).isNotNull()).select(large_id, large_text)
+    schema = StructType([*rows.select(large_id).schema.fields, *StructType.fromDDL("_x string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for item in shared.value:
+            automaton.add_word(item, item)
+        automaton.make_automaton()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SCAN_ROWS):
+                piece = batch.slice(start, SCAN_ROWS)
+                at, found = [], []
+                for i, text in enumerate(piece.column(1).to_pylist()):
+                    hits = {item for _, item in automaton.iter(text)}
+                    at += [i] * len(hits)
+                    found += hits
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def leak_audit(private: DataFrame, public: DataFrame, private_id: str, public_id: str, private_text: str, public_text: str, size: int = 48) -> DataFrame:
+    """Pairs in which a private text shows up in a public one after normalisation, and how (column kind).
+
+    ``grams``: a private text of ``size`` characters or more shares any run of so many. ``whole``: a shorter one occurs whole,
+    if it has 20 characters, or 12 and a digit or three words; what is shorter still says nothing.
+    """
+    sides = private_id, public_id, private_text, public_text
+    private = private.select(private_id, normalized(F.col(private_text)).alias(private_text))
+    public = public.select(public_id, normalized(F.col(public_text)).alias(public_text))
+    chars, x = F.char_length(private_text), F.col(private_text)
+    telling = (chars >= 20) | ((chars >= 12) & (x.rlike(r"\p{Nd}") | (F.size(F.split(x, " ")) >= 3)))
+    whole = contains_join(private.where((chars < size) & telling), public, *sides).withColumn("kind", F.lit("whole"))
+    grams = ngram_leak(private.where(chars >= size), public, *sides, size=size).select(private_id, public_id, F.lit("grams").alias("kind"))
+    return whole.unionByName(grams)
 
 
 def ngram_leak(

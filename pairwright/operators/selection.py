@@ -77,7 +77,7 @@ def terciles(rows: DataFrame, order: list[str], by: list[str] | None = None) ->
     )
 
 
-def distinct_cluster_quota(rows: DataFrame, quota_by: list[str], cluster: str, seed: str, key: list[str], k: int) -> DataFrame:
+def spread_over_clusters(rows: DataFrame, quota_by: list[str], cluster: str, seed: str, key: list[str], k: int) -> DataFrame:
     """Up to ``k`` rows per group, spread over clusters: each cluster's first row in hash order, then its second, and so on."""
     inside = Window.partitionBy(*quota_by, cluster).orderBy(hash_order(seed, *key), *key)
     across = Window.partitionBy(*quota_by).orderBy("_round", hash_order(seed, *key), *key)
@@ -85,6 +85,65 @@ def distinct_cluster_quota(rows: DataFrame, quota_by: list[str], cluster: str, s
     return ranked.where(F.col("place") <= k).drop("_round")
 
 
+def greedy_quota(candidates: list[tuple], strata: list, quotas: dict) -> list[tuple]:
+    """Picks in order from (stratum, rank, window, cluster), ranked within strata: rounds over the strata take one row each, of a window and a
+    cluster not taken yet; then each stratum is filled in order of rank from windows not taken. Returns (candidate, phase)."""
+    ranked = {s: sorted(c for c in candidates if c[0] == s) for s in strata}
+    picked, windows, clusters, held = [], set(), set(), dict.fromkeys(strata, 0)
+    going = True
+    while going:
+        going = False
+        for s in strata:
+            row = next((c for c in ranked[s] if c[2] not in windows and c[3] not in clusters), None) if held[s] < quotas[s] else None
+            if row is not None:
+                picked.append((row, "distinct"))
+                windows.add(row[2])
+                clusters.add(row[3])
+                held[s], going = held[s] + 1, True
+    for s in strata:
+        for row in ranked[s]:
+            if held[s] < quotas[s] and row[2] not in windows:
+                picked.append((row, "fill"))
+                windows.add(row[2])
+                held[s] += 1
+    return picked
+
+
+def distinct_cluster_quota(
+    rows: DataFrame, stratum: str, window: str, cluster: str, seed: str, key: list[str], quotas: dict, strict: bool = True
+) -> DataFrame:
+    """The rows that a greedy selection takes, with place (order of picking, from 1) and phase (distinct or fill).
+
+    Strata take turns in the order of ``quotas``; see ``greedy_quota``. Picks depend on all earlier ones, so they are made one after
+    another, but on few rows: with Q picks in all, at most Q windows and clusters are ever taken. So of a stratum
+    the first row of each of the first Q clusters can be picked in rounds, and the first row of each of the first
+    2 Q windows in filling; these are at most 3 Q rows a stratum, whatever the table's size. A window belongs to
+    one cluster; that is checked, and with ``strict`` a quota that can't be met fails.
+    """
+    several = rows.groupBy(window).agg(F.min(cluster).alias("a"), F.max(cluster).alias("b")).where("a <> b").limit(1).collect()
+    if several:
+        raise ValueError(f"a window belongs to more than one cluster: {several[0][0]}")
+    total = sum(quotas.values())
+    ranked = rows.where(F.col(stratum).isin(list(quotas))).select(
+        F.col(stratum).alias("s"), F.struct(hash_order(seed, *key).alias("h"), *[F.col(c) for c in key]).alias("rank"), F.col(window).alias("w"), F.col(cluster).alias("c")
+    )
+
+    def first(of: str, most: int) -> DataFrame:
+        once = ranked.groupBy("s", of).agg(F.min_by(F.struct("rank", "w", "c"), "rank").alias("x"))
+        place = F.row_number().over(Window.partitionBy("s").orderBy("x.rank"))
+        return once.withColumn("n", place).where(F.col("n") <= most).select("s", "x.rank", "x.w", "x.c")
+
+    few = first("c", total).unionByName(first("w", 2 * total)).distinct()
+    found = greedy_quota([(r.s, tuple(r.rank), r.w, r.c) for r in few.collect()], list(quotas), quotas)
+    if strict and len(found) < total:
+        raise ValueError(f"{len(found)} rows where quotas ask for {total}")
+    types = {f.name: f.dataType.simpleString() for f in rows.select(*key).schema.fields}
+    picks = [(*row[1][1:], place + 1, phase) for place, (row, phase) in enumerate(found)]
+    spark = rows.sparkSession
+    chosen = spark.createDataFrame(picks, ", ".join([*(f"`{c}` {types[c]}" for c in key), "place int", "phase string"]))
+    return rows.join(F.broadcast(chosen), key)
+
+
 def top_k(rows: DataFrame, value: str, ties: list[str], k: int) -> DataFrame:
     """The ``k`` rows of the largest value, ties by key: a heap per task, no full sort."""
     return rows.orderBy(F.desc(value), *ties).limit(k)

@@ -283,7 +283,7 @@ SELECT doc_id, source, concat('c', lpad(CAST(dense_rank() OVER (ORDER BY source)
 
 def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    out = selection.distinct_cluster_quota(docs, ["lang"], "source", "seed-3", ["doc_id"], 25)
+    out = selection.spread_over_clusters(docs, ["lang"], "source", "seed-3", ["doc_id"], 25)
     return out.withColumn("place", F.col("place").cast("long"))
 
 

@@ -148,7 +148,7 @@ def test_general_format(spark):
 def test_selection(spark):
     assert selection.seeded_indices(42, 100, 5) == sorted(__import__("random").Random(42).sample(range(100), 5))
     rows = spark.range(60).withColumn("c", F.col("id") % 6).withColumn("g", F.lit(1))
-    spread = selection.distinct_cluster_quota(rows, ["g"], "c", "s", ["id"], 6)
+    spread = selection.spread_over_clusters(rows, ["g"], "c", "s", ["id"], 6)
     assert spread.select("c").distinct().count() == 6
 
 

@@ -88,7 +88,7 @@ def test_positional_zip_and_members(spark):
 
 
 def test_short_and_long_items_by_containment(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BLOCK", 2)
+    monkeypatch.setattr(joins, "AUTOMATON_CHARS", 6)
     text = "ab cd " * 30 + "é😀 end"
     items = [(1, "cd a"), (2, "é😀"), (3, "zz"), (4, text[7:90]), (5, ""), (6, None), (7, "end")]
     small, large = spark.createDataFrame(items, "i int, x string"), spark.createDataFrame([(10, text), (11, "end"), (12, None)], "j int, y string")
