@@ -64,9 +64,13 @@ def inference(fitted: DataFrame) -> DataFrame:
 
 
 def sign_flip(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Exact sign-flip p per group; the sums of one group's clusters travel as one array."""
-    held = sums.groupBy(*(by or [])).agg(F.collect_list(F.col("s_g").cast("long")).alias("_sums"))
-    return held.select(*(by or []), sign_flip_p("_sums").alias("p_sign_flip"))
+    """Exact sign-flip p per group. Clusters are summed up as a histogram of their absolute sums, so what one call gets grows with the
+    number of distinct sums."""
+    by = by or []
+    size = F.abs(F.col("s_g").cast("long")).alias("_size")
+    counted = sums.groupBy(*by, size).agg(F.count("*").alias("_times"), F.sum(F.col("s_g").cast("long")).alias("_part"))
+    held = counted.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_size", "_times"))).alias("_h"), F.sum("_part").alias("_sum"))
+    return held.select(*by, sign_flip_p("_h._size", "_h._times", "_sum").alias("p_sign_flip"))
 
 
 def histogram(sums: DataFrame) -> DataFrame:

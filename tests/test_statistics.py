@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from fractions import Fraction
 
 import pytest
@@ -154,3 +155,37 @@ def test_errors_drop_the_pair(spark):
     a = spark.createDataFrame([("x", True, None), ("y", False, True)], "id string, correct boolean, errored boolean")
     b = spark.createDataFrame([("x", True, False), ("y", False, False)], "id string, correct boolean, errored boolean")
     assert [r.id for r in pairing.paired(a, b, drop_errors="errored").collect()] == ["x"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_fisher_walks_to_the_same_sum(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        t = [rng.randrange(0, 40) for _ in range(4)]
+        row, column, total = t[0] + t[1], t[0] + t[2], sum(t)
+        ways = [math.comb(row, x) * math.comb(total - row, column - x) for x in range(max(0, column - total + row), min(row, column) + 1)]
+        here = math.comb(row, t[0]) * math.comb(total - row, column - t[0])
+        assert S.fisher_exact(*t) == (sum(w for w in ways if w <= here) / math.comb(total, column) if total else 1.0)
+
+
+def test_exact_tests_at_scale():
+    """100,000 items a side and 10,000 clusters take seconds."""
+    began = time.time()
+    assert 0.02 < S.fisher_exact(50_000, 50_000, 50_450, 49_550) < 0.06
+    assert S.fisher_exact(60_000, 40_000, 40_000, 60_000) == 0.0
+    rng = random.Random(3)
+    sums = [rng.randrange(-20, 21) for _ in range(10_000)]
+    p = S.sign_flip_exact(sums)
+    z = abs(sum(sums)) / math.sqrt(sum(s * s for s in sums))
+    assert p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=0.01)
+    assert time.time() - began < 40
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sign_flips_in_floating_point_equal_whole_numbers(seed, monkeypatch):
+    rng = random.Random(seed)
+    sums = [rng.randrange(-9, 12) * (1 + seed) for _ in range(20 + 60 * seed)]
+    exact = S.sign_flip_exact(sums)
+    monkeypatch.setattr(S, "EXACT_WORK", -1)
+    assert S.sign_flip_exact(sums) == pytest.approx(exact, rel=1e-15)
+    assert S.sign_flip_exact([1] * 900) == pytest.approx(2.0**-899, rel=1e-15)
