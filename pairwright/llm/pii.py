@@ -1,16 +1,16 @@
 """Personal data by weak supervision.
 
 Base spans follow fixed patterns (email, ip, card, phone) and always stay.
-Further candidates of all kinds come from looser patterns: addresses with written-out "at"
-and "dot", network addresses with brackets around their dots or of version 6, card numbers with
-other separators, telephone numbers without a plus sign, and a kind of its own, secret: runs of
-letters and digits such as keys and passwords. Labelers (strict pattern,
+Further candidates are wide: whatever could be meant as personal data, most of it not. Of kind email what stands
+around an "@" or a written-out "at"; of ip dotted numbers of two to eight parts, also with brackets around the dots, and
+groups of version 6; of card runs of 12 to 25 digits, with or without separators; of phone groups of 6 to 15 digits; and, a kind of its own,
+secret: runs of letters and digits of eight or more, as keys and passwords are. Labelers (strict pattern,
 gazetteer, words around, shape, surroundings, marks) vote yes, no or nothing on every
 candidate. Expectation-maximisation over the counts of vote patterns estimates
 each labeler's reliability per kind, and its posteriors are the soft labels of
 a final logistic span classifier. Its features are of the span itself and the characters beside it
-(length, shares of digits and capitals, variety of characters, kinds of the neighbouring
-characters), beside the labelers' signs; loose candidates it accepts are added.
+(length, shares of digits and capitals, variety, groups, checksum, neighbouring
+characters), not the votes; candidates it accepts are added.
 
 Votes and features are small discrete tuples, so the corpus is summed up as
 counts per tuple: all candidates of all texts count, and what reaches the
@@ -58,11 +58,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = re.compile(r"\x20?[\(\[\{]\x20?at\x20?[\)\]\}]\x20?|\x20at\x20", re.IGNORECASE)
 _SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\x20?[\(\[\{]\x20?dot\x20?[\)\]\}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
-_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])")
+_WIDE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?@\x20?[A-Za-z0-9.-]{2,64}")
+_WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{1,4}\)?(?:[\x20./-][0-9]{1,5}){1,5}(?![0-9A-Za-z-])")
+_WIDE_DOTTED = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,5}(?:\.[0-9]{1,5}){1,7}(?![0-9A-Za-z])")
 _BRACKETED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\(\[\{]\x20?(?:\.|dot)\x20?[\)\]\}]\x20?[0-9]{1,3}){3}(?![0-9.])", re.IGNORECASE)
-_IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{4}){2}[\x20./_-]{1,2}[0-9]{2,7}(?![0-9A-Za-z])")
-_KEY = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_WIDE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]?[0-9]){11,24}(?![0-9A-Za-z])")
+_KEY = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\W\d_][\w-]*")
 
@@ -132,7 +134,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further candidates that meet no base span, each kind without overlaps."""
+    """Further candidates that meet no base span."""
     found = []
     low_at = "at" in text or "AT" in text or "At" in text
     if low_at:
@@ -146,13 +148,15 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             if domain:
                 found.append(("email", start, domain.end()))
                 free = domain.end()
+    if "@" in text:
+        found += [("email", *m.span()) for m in _WIDE_AT.finditer(text)]
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for p in (_BRACKETED_IP, _IP6) for m in p.finditer(text)]
-        found += [("card", *m.span()) for m in _LOOSE_CARD.finditer(text) if 14 <= sum(c.isdigit() for c in m.group()) <= 19]
-        found += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text)]
+        found += [("ip", *m.span()) for p in (_WIDE_DOTTED, _BRACKETED_IP, _IP6) for m in p.finditer(text)]
+        found += [("card", *m.span()) for m in _WIDE_CARD.finditer(text)]
+        found += [("phone", *m.span()) for m in _WIDE_PHONE.finditer(text) if 6 <= sum(c.isdigit() for c in m.group()) <= 15]
         for m in _KEY.finditer(text):
             digits = sum(c.isdigit() for c in m.group())
-            if digits >= 2 and digits < m.end() - m.start() - 1 and sum(c.isalpha() for c in m.group()) >= 2:
+            if digits and any(c.isalpha() for c in m.group()):
                 found.append(("secret", *m.span()))
     if not found:
         return []
@@ -166,17 +170,13 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     return kept
 
 
-def _side(c: str) -> int:
-    """Kind of a character beside a span: white space, letter, digit, or another."""
-    return 0 if c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
-
-
 def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[str, str]:
     """The votes (y, n or - per labeler) and the feature values of a candidate."""
     span = text[start:end]
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])][-4:]
     after = [w.lower() for w in _WORD.findall(text[end : end + 24])][:2]
     digits = sum(c.isdigit() for c in span)
+    digit_run = re.sub(r"[^0-9]", "", span)
     near = CONTEXT[kind]
     named = any(w in near for w in before) or any(w in near for w in after)
     edge = (text[start - 1] if start else " ") + (text[end] if end < len(text) else " ")
@@ -188,10 +188,11 @@ def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[
         # plain words around "at" and "dot" are prose unless something says that an address follows
         shape = len(ends_in) >= 3 and len(ends_in[-1]) in (2, 3, 4, 5, 6) and (marked or named)
     elif kind == "ip":
-        gazetteer = not span.startswith(("0.", "255."))
-        parts = re.findall(r"[0-9]+", span) if ":" not in span else []
-        shape = all(int(p[:4]) <= 255 and not (len(p) > 1 and p[0] == "0") for p in parts)
-        marked = span.count(".") == 3 or span.count(":") == 7
+        lead = re.match(r"[0-9]+", span)
+        gazetteer = ":" in span or lead is None or 0 < int(lead.group()[:4]) < 255
+        parts = re.findall(r"[0-9]+", span) if ":" not in span else span.split(":")
+        shape = len(parts) == 8 if ":" in span else len(parts) == 4 and all(int(p[:4]) <= 255 and not (len(p) > 1 and p[0] == "0") for p in parts)
+        marked = span.count(".") == 3 or span.count(":") == 7 or len(re.findall(r"dot", span, re.IGNORECASE)) == 3
     elif kind == "card":
         gazetteer = span[0] in "3456"
         shape = digits in (14, 15, 16, 19)
@@ -211,18 +212,30 @@ def evidence(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[
     against = any(w in AGAINST for w in before[-2:]) or edge[0] in "$€£#="
     if kind == "secret":
         against = "/" in span or "--" in span or span.count("-") > 3
+    # of the fixed pattern's form, but failing its check
+    failed = (
+        (kind == "card" and _CARD.fullmatch(span) and not (14 <= digits <= 19 and luhn(digit_run)))
+        or (kind == "ip" and _DOTTED.fullmatch(span))
+        or (kind == "phone" and span[0] == "+")
+        or (kind == "email" and "@" in span)
+    )
     votes = (
-        "y" if strict else "-",
+        "y" if strict else "n" if failed else "-",
         "y" if gazetteer else "-" if kind == "secret" else "n",
         "y" if named else "n" if kind == "email" and not marked else "-",
         "y" if shape else "n",
         "n" if against or glued else "-",
         "y" if marked else "n",
     )
+    numbers = re.findall(r"[0-9]+", span)
     features = (
-        int(strict), int(gazetteer), int(named), int(shape), int(against), int(glued), int(marked),
-        min(digits, 20) // 4, min(len(span), 48) // 8, 4 * digits // len(span), 4 * sum(c.isupper() for c in span) // len(span),
-        min(4, len(set(span)) // 4), _side(edge[0]), _side(edge[1]), int(bool(before) and before[-1] in near),
+        int(12 <= digits <= 19 and luhn(digit_run)),
+        int(len(numbers) == 4 and all(int(x[:4]) <= 255 for x in numbers)),
+        min(digits, 24), min(len(span), 48) // 4, 8 * digits // len(span), 8 * sum(c.isupper() for c in span) // len(span),
+        min(8, len(set(span)) // 3), min(8, len(re.findall(r"[0-9A-Za-z]+", span))), min(4, len(set(re.sub(r"[0-9A-Za-z]+", "", span)))),
+        min(12, sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))),
+        int(span[0] in "+("), int(edge[0] in "=\"':"), int(glued), min(8, span.count(":")),
+        int(bool(re.search(r"[A-Za-z]{2,}", span))), int(9 <= digits <= 15), int(14 <= digits <= 19),
     )
     return "".join(votes), ",".join(map(str, features))
 
@@ -241,6 +254,7 @@ def estimate(patterns: list[tuple[str, str, int]], rounds: int = 200) -> tuple[d
     yes = np.array([[c == "y" for c in v] for v in names], dtype=np.float64)
     no = np.array([[c == "n" for c in v] for v in names], dtype=np.float64)
     p = (yes.sum(axis=1) + 0.5) / (yes.sum(axis=1) + no.sum(axis=1) + 1)
+    true = false = np.full(yes.shape[1], 0.5)
     for _ in range(rounds):
         w1, w0 = (n * p)[:, None], (n * (1 - p))[:, None]
         true = ((w1 * yes).sum(axis=0) + 8) / ((w1 * (yes + no)).sum(axis=0) + 10)
@@ -254,17 +268,18 @@ def estimate(patterns: list[tuple[str, str, int]], rounds: int = 200) -> tuple[d
     return dict(zip(names, p.tolist())), true, false
 
 
-def train(counts: list[tuple[str, str, str, int]]) -> tuple[dict[tuple[str, str], float], dict[str, dict]]:
-    """Score of the final classifier for every (kind, features) seen, and the labelers' reliabilities."""
+def train(counts: list[tuple[str, str, str, int]], rounds: int = 200) -> tuple[dict[tuple[str, str], float], dict[str, dict]]:
+    """Score of the final classifier for every (kind, features) seen, and the labelers' reliabilities. Without ``rounds`` of
+    expectation-maximisation the labelers' majority takes the place of its posteriors."""
     scores, reliability = {}, {}
     for kind in ALL_KINDS:
         own = [(votes, features, n) for k, votes, features, n in counts if k == kind]
         if not own:
             continue
-        posterior, true, false = estimate(own)
+        posterior, true, false = estimate(own, rounds)
         reliability[kind] = {"yes_if_true": true.tolist(), "yes_if_false": false.tolist()}
         x = np.array([[float(v) for v in f.split(",")] for _, f, _ in own])
-        x[:, 7:] /= np.maximum(x[:, 7:].max(axis=0), 1)
+        x /= np.maximum(x.max(axis=0), 1)
         weight = np.array([float(n) for _, _, n in own])
         w = fit_logistic(x, np.array([posterior[v] for v, _, _ in own]), weight * min(1.0, 1e6 / weight.sum()), 0.02)
         for (_, features, _), score in zip(own, logistic(x, w)):
@@ -295,22 +310,23 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     return map_chunks(docs.select(*dict.fromkeys((*keep, "text"))), make, extend(docs.select(*keep).schema, added))
 
 
-def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans, n_added, n_secret; the classifier learns from all candidates."""
+def find_personal_data(docs: DataFrame, threshold: float = 0.5, rounds: int = 200) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256, spans, n_added, n_secret and n_rejected (candidates that the classifier turned down); it
+    learns from all candidates, in at most ``rounds`` of expectation-maximisation."""
     found = checkpoint(candidates(docs.select("doc_id", "text")))
     each = found.where(F.size("kinds") > 0).select(F.explode(F.arrays_zip("kinds", "votes", "features")).alias("c"))
     counts = each.groupBy("c.kinds", "c.votes", "c.features").agg(F.count("*").alias("n")).collect()
-    scores, _ = train([tuple(r) for r in counts])
+    scores, _ = train([tuple(r) for r in counts], rounds)
     accepted = {key for key, score in scores.items() if score >= threshold}
     schema = extend(
         found.select("doc_id").schema,
-        "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_secret bigint",
+        "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_secret bigint, n_rejected bigint",
     )
 
     def finish(batches):
         for batch in batches:
             rows = [batch.column(n).to_pylist() for n in ("kinds", "starts", "ends", "strict", "features")]
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for spans in zip(*rows):
                 spans = sorted(zip(*spans), key=lambda s: (s[1], ALL_KINDS.index(s[0])))
                 base = [f"{k}:{a}:{b}" for k, a, b, strict, _ in spans if strict]
@@ -321,7 +337,8 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 out[5].append(",".join(every))
                 out[6].append(len(every) - len(base))
                 out[7].append(sum(1 for x in every if x.startswith("secret:")))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+                out[8].append(len(spans) - len(every))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
             arrays = [pa.array(values, kind) for values, kind in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], schema.fieldNames())
 
