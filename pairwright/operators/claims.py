@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pairwright.functions.statistics import fisher_p, mcnemar_p, rate
 from pairwright.operators.aggregates import nearest_rank_counts, recovered_count
 from pairwright.operators.folds import ordered_digests
+from pairwright.operators.timeseries import range_join
+
+
+#: Bands of a verdict table, which each task compares its rows with.
+MOST_BANDS = 10_000
 
 
 def _share(hits: Column, of: Column) -> Column:
@@ -42,7 +47,7 @@ def comparison_records(specs: DataFrame, outcomes: DataFrame, config: str, item:
     marked = outcomes.select(F.col(config).alias("config"), F.col(item).alias("item"), correct.alias("ok"))
     sums = marked.groupBy("config").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
     a, b = (sums.select(F.col("config").alias(f"config_{s}"), F.col("n").alias(f"n_{s}"), F.col("k").alias(f"k_{s}")) for s in "ab")
-    whole = specs.join(F.broadcast(a), "config_a", "left").join(F.broadcast(b), "config_b", "left")  # one row per config
+    whole = specs.join(a, "config_a", "left").join(b, "config_b", "left")
     left = specs.join(marked.select(F.col("config").alias("config_a"), "item", F.col("ok").alias("ok_a")), "config_a")
     right = specs.join(marked.select(F.col("config").alias("config_b"), "item", F.col("ok").alias("ok_b")), "config_b")
     met = left.join(right.select("name", "item", "ok_b"), ["name", "item"])
@@ -205,10 +210,11 @@ def energy_rates(runs: DataFrame, tokens: str, energy: str, span: str, idle_powe
 
 
 def idle_power(samples: DataFrame, runs: DataFrame, by: list[str], t: str, power: str, start: str, width: float) -> DataFrame:
-    """Mean power in the ``width`` seconds before each run's start, per ``by``: one pass over samples bounded by the runs."""
-    met = samples.join(runs.select(*by, F.col(start).alias("_start")), by)
-    before = (F.col(t) >= F.col("_start") - width) & (F.col(t) < F.col("_start"))
-    return met.where(before).groupBy(*by).agg(F.count("*").alias("idle_samples"), F.avg(power).alias("idle_power"))
+    """Mean power in the ``width`` seconds before each run's start, per ``by`` and run (column ``start``). Runs are listed under the stretches
+    of time that they look at, so a sample meets the runs near it, and counts for each whose stretch holds it."""
+    looked = runs.select(*by, F.col(start), (F.col(start) - width).alias("_from"), F.col(start).alias("_to"))
+    met = range_join(samples, looked, t, "_from", "_to", width, by).where(F.col(t) < F.col("_to"))
+    return met.groupBy(*by, start).agg(F.count("*").alias("idle_samples"), F.avg(power).alias("idle_power"))
 
 
 def scaling(rows: DataFrame, by: list[str], clients: str, rates: str, base: int = 1) -> DataFrame:
@@ -300,7 +306,9 @@ def provenance(rows: DataFrame, sample: DataFrame, key: str, pos: str, pattern:
 
 def banded(rows: DataFrame, value: str, bands: DataFrame) -> DataFrame:
     """The verdict of the band (low inclusive, high exclusive; null is open) that a value lies in, from a table of bands."""
-    b = F.broadcast(bands)  # registered thresholds: a handful of rows
+    if bands.limit(MOST_BANDS + 1).count() > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands")
+    b = F.broadcast(bands)
     inside = (F.col("low").isNull() | (F.col(value) >= F.col("low"))) & (F.col("high").isNull() | (F.col(value) < F.col("high")))
     return rows.join(b, inside, "left").drop("low", "high")
 
@@ -365,6 +373,21 @@ def response_audit(intents: DataFrame, terminals: DataFrame, responses: DataFram
     return legs.withColumn("finding", finding)
 
 
+def session_audit(sessions: DataFrame, intents: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+    """One row per session: how often it is registered, and its intents and responses. ``repeated``: registered more than once; ``unknown``:
+    never, but referred to; ``unused``: without an intent, so nothing says that it was safe to use; else ``sound``."""
+    legs = None
+    for name, rows in (("registered", sessions), ("intents", intents), ("responses", responses)):
+        one = rows.groupBy(key).agg(F.count("*").alias(name))
+        legs = one if legs is None else legs.join(one, key, "full_outer")
+    zero = F.lit(0).cast("long")
+    legs = legs.select(key, *[F.coalesce(c, zero).alias(c) for c in ("registered", "intents", "responses")])
+    finding = (
+        F.when(F.col("registered") == 0, "unknown").when(F.col("registered") > 1, "repeated").when(F.col("intents") == 0, "unused").otherwise("sound")
+    )
+    return legs.withColumn("finding", finding)
+
+
 def plot_points(rows: DataFrame, x: str, y: str, panel: str, lowest: float, highest: float, pad: float = 0.05) -> DataFrame:
     """Points of a figure with each panel's padded axis limits; points that are null or out of range are marked, not dropped."""
     sound = F.col(x).isNotNull() & F.coalesce(F.col(y).between(lowest, highest), F.lit(False))

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwright.session import scratch
+
 
 def hash_order(seed: str, *columns: str) -> Column:
     """Hex sha-256 of the seed and the columns, joined by '|': an order that any engine can repeat."""
@@ -56,6 +58,21 @@ def dense_ids(rows: DataFrame, by: str, prefix: str, width: int) -> DataFrame:
     return rows.join(ranked.select(by, label.alias("dense_id")), by)
 
 
+def with_positions(rows: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """``rows`` with their place (from 0) in a total order, without one task that sees them all: rows are sorted by ranges and written, a
+    place is the number of rows in the ranges before and the place within its own."""
+    held = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    path = f"{scratch(rows.sparkSession, 'ranked')}/rows"
+    held.write.parquet(path)
+    held = rows.sparkSession.read.parquet(path)
+    part = F.shiftright("_id", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range
+    starts = held.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_base") + within).drop("_part", "_base", "_id")
+
+
 def seeded_indices(seed: int, n: int, k: int) -> list[int]:
     """Sorted sample of positions by Python's generator, for results that must equal such a sample."""
     return sorted(random.Random(seed).sample(range(n), k))

@@ -262,7 +262,7 @@ def energy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per joule of each user's load, gross and net of half the mean load in the day before the first purchase."""
     events = table(spark, sf_dir, "events").withColumn("t", timeseries.seconds("ts"))
     runs = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("t").alias("t0"))
-    idle = claims.idle_power(events, runs, ["user_id"], "t", "value", "t0", 86400)
+    idle = claims.idle_power(events, runs, ["user_id"], "t", "value", "t0", 86400).drop("t0")
     whole = timeseries.energy(events, "t", "value", ["user_id"]).join(idle, "user_id", "left")
     whole = whole.withColumn("idle", F.coalesce("idle_power", F.lit(0.0)) * 0.5).withColumn("tokens", F.col("n_samples"))
     out = claims.energy_rates(whole, "tokens", "energy", "span", "idle")
@@ -304,8 +304,8 @@ def order_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     ten, half = F.floor(key / 10), F.floor(key % 10 / 5)
     # positions by arithmetic would need dense ids, so both come from global ranks of the (unique) ids
-    before = ids.select(key, (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("pos"))
-    after = ids.select(key, (F.row_number().over(Window.orderBy(ten, -half, key)) - 1).alias("pos"))
+    before = selection.with_positions(ids, ["doc_id"])
+    after = selection.with_positions(ids, [ten, -half, key])
     return claims.order_kept(before, after, "doc_id", "pos")
 
 
@@ -492,8 +492,8 @@ def zipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def ranked(status: str, key: str, price: str) -> DataFrame:
         rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status)
-        pos = F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey"))
-        return rows.select(pos.alias("pos"), F.col("o_orderkey").alias(key), F.col("o_totalprice").alias(price))
+        rows = selection.with_positions(rows.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+        return rows.select("pos", F.col("o_orderkey").alias(key), F.col("o_totalprice").alias(price))
 
     out = joins.positional_zip(ranked("P", "key", "price"), ranked("F", "key", "price"), "pos").where("key_a IS NOT NULL AND key_b IS NOT NULL")
     return out.select(
@@ -616,3 +616,49 @@ def log_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = chained.groupBy("conv_id").agg(F.count("*").alias("n"), F.max_by("sum", "turn").alias("checksum"))
     heads = count.select("conv_id", (F.col("n") + (F.col("conv_id") % 3 == 0).cast("int")).alias("n"), F.when(F.col("conv_id") % 3 == 1, "other").otherwise(F.col("checksum")).alias("checksum"))
     return verify_log(chained, "conv_id", "turn", "link", "sum", ["conv_id", "turn", "text"], heads)
+
+
+@_query("""
+WITH e AS (SELECT user_id, event_type, value, epoch_us(ts) / 1000000.0 AS t FROM events),
+r AS (SELECT DISTINCT user_id, t AS t0 FROM e WHERE event_type = 'purchase')
+SELECT user_id, round(t0, 6) AS t0, count(*) AS idle_samples, round(avg(value), 6) AS idle_power FROM e JOIN r USING (user_id) WHERE t >= t0 - 43200 AND t < t0 GROUP BY user_id, r.t0
+""")
+def idle_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean value in the half day before every purchase; stretches of one user overlap, and each keeps its own."""
+    events = table(spark, sf_dir, "events").withColumn("t", timeseries.seconds("ts"))
+    runs = events.where("event_type = 'purchase'").select("user_id", F.col("t").alias("t0")).distinct()
+    out = claims.idle_power(events.select("user_id", "t", "value"), runs, ["user_id"], "t", "value", "t0", 43200)
+    return out.select("user_id", F.round("t0", 6).alias("t0"), "idle_samples", F.round("idle_power", 6).alias("idle_power"))
+
+
+@_query("""
+WITH c AS (SELECT concat(user_id, ':', CAST(CAST(ts AS DATE) AS VARCHAR)) AS session, event_type FROM events),
+s AS (SELECT session, count(*) FILTER (event_type = 'signup') AS registered, count(*) FILTER (event_type = 'view') AS intents,
+             count(*) FILTER (event_type = 'purchase') AS responses FROM c GROUP BY session)
+SELECT *, CASE WHEN registered = 0 THEN 'unknown' WHEN registered > 1 THEN 'repeated' WHEN intents = 0 THEN 'unused' ELSE 'sound' END AS finding
+FROM s WHERE registered + intents + responses > 0
+""")
+def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of users as sessions: sign-ups register them, views are intents, purchases responses."""
+    events = table(spark, sf_dir, "events").withColumn("session", F.concat_ws(":", "user_id", F.to_date("ts").cast("string")))
+    return claims.session_audit(*[events.where(F.col("event_type") == t) for t in ("signup", "view", "purchase")], "session")
+
+
+@_query(r"""
+WITH c AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT conv_id, turn, text, CAST(1 AS INTEGER) AS n, 'what stands at ' || turn || ' of it?' AS question, w[1] || ' ' || w[2] AS answer FROM c WHERE len(w) >= 3
+      UNION ALL SELECT conv_id, turn, text, 2, 'and what comes then?', CASE conv_id % 3 WHEN 0 THEN upper(w[3]) || 'X' WHEN 1 THEN w[3] ELSE w[3] || ' nowhere at all' END FROM c WHERE len(w) >= 3)
+SELECT conv_id, turn, n, question, answer FROM p
+WHERE length(question) BETWEEN 13 AND 500 AND length(answer) BETWEEN 2 AND 80 AND len(string_split(answer, ' ')) <= 8 AND contains(text, answer)
+""")
+def verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions and answers of a reply that stand in the text they are about: short enough, and word for word."""
+    words = F.filter(F.split("text", r"[ \n]+"), lambda x: x != "")
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("w", words).where(F.size("w") >= 3)
+    third, k = F.col("w")[2], F.col("conv_id") % 3
+    second = F.when(k == 0, F.concat(F.upper(third), F.lit("X"))).when(k == 1, third).otherwise(F.concat(third, F.lit(" nowhere at all")))
+    reply = F.concat(
+        F.lit("Here.\nQ1: what stands at "), F.col("turn").cast("string"), F.lit(" of it?\nA1:  "), F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit("\nQ2 : and what comes then? \nA2: "), second
+    )
+    rows = rows.withColumn("pairs", tx.verified_pairs(reply, F.col("text")))
+    return rows.select("conv_id", "turn", F.inline("pairs"))

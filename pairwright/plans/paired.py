@@ -228,6 +228,33 @@ def did_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.join(clustered.sign_flip(sums, ["l_linestatus"]), "l_linestatus")
 
 
+def did_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard error, t and its two-sided p of the contrast, by months of shipping, where some are far from certain."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("month", F.month("l_shipdate"))
+    z = clustered.interaction(F.col("l_quantity") > 25, F.col("l_discount") > 0.05, F.col("l_quantity") > 26, F.col("l_discount") > 0.04)
+    sums = clustered.cluster_sums(rows.withColumn("z", z), F.col("z"), "l_suppkey", ["month"])
+    out = clustered.inference(clustered.cr2(sums, ["month"]))
+    return _rounded(out.select("month", "se", "t", F.col("p_cr2").alias("p")), 7, "se", "t", "p")
+
+
+#: The tail of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(df).
+DID_ERRORS = """
+WITH z AS (
+  SELECT month(l_shipdate) AS month, l_suppkey, CAST(l_quantity > 25 AS INT) - CAST(l_discount > 0.05 AS INT)
+         - (CAST(l_quantity > 26 AS INT) - CAST(l_discount > 0.04 AS INT)) AS z FROM lineitem),
+g AS (SELECT month, l_suppkey, count(*) AS n_g, sum(z) AS s_g FROM z GROUP BY ALL),
+t AS (SELECT *, sum(n_g) OVER (PARTITION BY month) AS n, sum(s_g) OVER (PARTITION BY month) AS s FROM g),
+u AS (SELECT *, n_g / n::DOUBLE AS h, s_g - n_g * s / n::DOUBLE AS gap FROM t),
+f AS (SELECT month, s / n::DOUBLE AS estimate, sqrt(sum(gap * gap / (1 - h)) / (n::DOUBLE * n)) AS se,
+             1 / (sum(h * h) + sum(h * h / (1 - h)) ** 2 - sum((h * h / (1 - h)) ** 2)) AS df FROM u GROUP BY month, n, s),
+a AS (SELECT *, estimate / se AS t, atan(abs(estimate / se) / sqrt(df)) AS low, (pi() / 2 - atan(abs(estimate / se) / sqrt(df))) / 2000 AS step FROM f),
+i AS (SELECT month, sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * greatest(cos(low + k * step), 0) ** (df - 1)) AS total
+      FROM a, range(2001) r(k) GROUP BY month)
+SELECT month, round(se, 7) AS se, round(t, 7) AS t,
+       round(2 * total * step / 3 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()), 7) AS p FROM a JOIN i USING (month)
+"""
+
+
 def histogram_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = clustered.cluster_sums(_contrast(spark, sf_dir), F.col("z"), "l_suppkey")
     counted = clustered.histogram(sums)
@@ -260,6 +287,7 @@ QUERIES = {
     "paired_compare": paired_compare,
     "holm_family": holm_family,
     "fisher_two_groups": fisher_two_groups,
+    "did_errors": did_errors,
     "did_cr2": did_cr2,
     "did_inference": did_inference,
     "histogram_roundtrip": histogram_roundtrip,
@@ -272,6 +300,7 @@ ORACLE_SQL = {
     "paired_compare": PAIRED_COMPARE,
     "holm_family": HOLM_FAMILY,
     "fisher_two_groups": FISHER,
+    "did_errors": DID_ERRORS,
     "did_cr2": DID_CR2,
     "histogram_roundtrip": HISTOGRAM,
 }
