@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, MapType, NumericType, StringType, StructType
 
 
 def check_rows(rows: DataFrame, constraints: dict[str, Column]) -> DataFrame:
@@ -42,19 +42,43 @@ def forbidden_fields(kind: DataType, names: set[str], path: str = "") -> list[st
     return []
 
 
-def pattern_counts(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """rows_hit and matches per named pattern over a text column, in one pass."""
-    sums = rows.agg(
-        *[F.count_if(F.col(text).rlike(p)).alias(f"r{i}") for i, p in enumerate(patterns.values())],
-        *[F.sum(F.regexp_count(F.col(text), F.lit(p))).alias(f"m{i}") for i, p in enumerate(patterns.values())],
-    )
-    each = F.array(
-        *[
-            F.struct(F.lit(n).alias("pattern"), F.col(f"r{i}").alias("rows_hit"), F.coalesce(f"m{i}", F.lit(0)).alias("matches"))
-            for i, n in enumerate(patterns)
-        ]
+def pattern_counts(rows: DataFrame, text: str, patterns: dict[str, str], needles: dict[str, str] | None = None) -> DataFrame:
+    """rows_hit and matches per named pattern over a text column, in one pass, each pattern tried once a text.
+
+    A pattern's needle is a text that every match holds; texts without it are passed by without trying the pattern.
+    """
+    counts = []
+    for i, (name, p) in enumerate(patterns.items()):
+        tried = F.regexp_count(F.col(text), F.lit(p))
+        needle = (needles or {}).get(name)
+        tried = tried if needle is None else F.when(F.contains(F.col(text), F.lit(needle)), tried).otherwise(0)
+        counts.append(tried.alias(f"c{i}"))
+    sums = rows.select(*counts).agg(
+        *[F.count_if(F.col(f"c{i}") > 0).alias(f"r{i}") for i in range(len(counts))], *[F.sum(f"c{i}").alias(f"m{i}") for i in range(len(counts))]
     )
-    return sums.select(F.inline(each))
+    zero = F.lit(0).cast("long")
+    each = [F.struct(F.lit(n).alias("pattern"), F.col(f"r{i}").alias("rows_hit"), F.coalesce(f"m{i}", zero).alias("matches")) for i, n in enumerate(patterns)]
+    return sums.select(F.inline(F.array(*each)))
+
+
+def truthy(rows: DataFrame, name: str) -> Column:
+    """Whether an optional field holds something: a column that isn't there, null, false, zero and what is empty don't; NaN does."""
+    if name not in rows.columns:
+        return F.lit(False)
+    kind, c = rows.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, (ArrayType, MapType)):
+        full = F.size(c) > 0
+    elif isinstance(kind, StringType):
+        full = c != ""
+    elif isinstance(kind, BinaryType):
+        full = F.octet_length(c) > 0
+    elif isinstance(kind, BooleanType):
+        full = c
+    elif isinstance(kind, NumericType):
+        full = c != 0
+    else:
+        full = c.isNotNull()
+    return F.coalesce(full, F.lit(False))
 
 
 def redact(text: Column, patterns: list[str], mark: str = "[redacted]") -> Column:

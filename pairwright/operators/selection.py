@@ -28,6 +28,12 @@ def hash_sample(rows: DataFrame, seed: str, key: list[str], k: int) -> DataFrame
     return rows.withColumn("order_hash", hash_order(seed, *key)).orderBy("order_hash", *key).limit(k)
 
 
+def condition_orders(items: DataFrame, key: list[str], conditions: list[str], seed: str) -> DataFrame:
+    """``items`` with ``order``: the conditions in an order of each item's own, that of the hashes of seed, item and condition."""
+    each = [F.struct(F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in key], F.lit(x)).cast("binary"), 256).alias("h"), F.lit(x).alias("x")) for x in conditions]
+    return items.withColumn("order", F.transform(F.array_sort(F.array(*each)), lambda e: e["x"]))
+
+
 def min_by_hash(rows: DataFrame, by: list[str], seed: str, key: list[str]) -> DataFrame:
     """One row per group: the one of the least hash."""
     rest = [c for c in rows.columns if c not in by]

@@ -219,6 +219,8 @@ PATTERNS = {
     "home path": r"/home/[a-z]+",
     "dotted quad": r"[0-9]{1,3}(\.[0-9]{1,3}){3}",
 }
+#: What every match of a pattern holds.
+NEEDLES = {"email": "@", "home path": "/home/", "dotted quad": "."}
 
 
 def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +228,7 @@ def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
     out = None
     for name, rows in (("documents", docs), ("pages", pages)):
-        one = integrity.pattern_counts(rows, "text", PATTERNS).select(F.lit(name).alias("origin"), "*")
+        one = integrity.pattern_counts(rows, "text", PATTERNS, NEEDLES).select(F.lit(name).alias("origin"), "*")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("rows_hit", F.col("rows_hit").cast("long")).withColumn("matches", F.col("matches").cast("long"))
 

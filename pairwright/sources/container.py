@@ -34,7 +34,7 @@ BLOCK = 1 << 16
 MOST_TEXT, MOST_ITEMS, MOST_DIMS = 1 << 24, 1 << 24, 8
 
 
-def _system(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:/"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
@@ -119,12 +119,12 @@ class Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[FilePart]:
-        system, place = _system(self.path)
+        system, place = file_system(self.path)
         found = system.get_file_info(pafs.FileSelector(place, recursive=True)) if system.get_file_info(place).type == pafs.FileType.Directory else [system.get_file_info(place)]
         return [FilePart(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
-        system, _ = _system(self.path)
+        system, _ = file_system(self.path)
         with system.open_input_stream(partition.path, compression=None, buffer_size=0) as stream:
             yield from Header(stream, partition.path).rows()
 
@@ -160,7 +160,7 @@ class Writer(DataSourceWriter):
         self.path, self.rows = path, rows
 
     def write(self, iterator: Iterator) -> Written:
-        system, place = _system(self.path)
+        system, place = file_system(self.path)
         system.create_dir(place, recursive=True)
         files, held = [], []
 
@@ -183,7 +183,7 @@ class Writer(DataSourceWriter):
         return Written(files)
 
     def abort(self, messages: list) -> None:
-        system, _ = _system(self.path)
+        system, _ = file_system(self.path)
         for file in (f for m in messages if m is not None for f in m.files):
             system.delete_file(file)
 
