@@ -277,16 +277,19 @@ ERROR_RECORD = "kind STRING, status INT, exception STRING, message STRING, attem
 
 def error_contract(text: Column) -> Column:
     """Whether a JSON text is a sound error record: struct<ok, reason>. A null text (no error) is sound."""
-    e = F.from_json(text, ERROR_RECORD)
-    reason = (
-        F.when(text.isNull(), None)
-        .when(e.isNull() | e["kind"].isNull(), "not a record")
-        .when(~e["kind"].isin("http", "exception"), "unknown kind")
-        .when((e["kind"] == "http") & ~F.coalesce(e["status"].between(400, 599), F.lit(False)), "status out of range")
-        .when((e["kind"] == "http") & e["exception"].isNotNull(), "both kinds")
-        .when((e["kind"] == "exception") & (e["exception"].isNull() | e["status"].isNotNull()), "exception without a name")
-        .when(~F.coalesce(e["attempts"] >= 1, F.lit(False)), "no attempts")
-    )
+
+    def fault(e: Column) -> Column:
+        return (
+            F.when(e.isNull() | e["kind"].isNull(), "not a record")
+            .when(~e["kind"].isin("http", "exception"), "unknown kind")
+            .when((e["kind"] == "http") & ~F.coalesce(e["status"].between(400, 599), F.lit(False)), "status out of range")
+            .when((e["kind"] == "http") & e["exception"].isNotNull(), "both kinds")
+            .when((e["kind"] == "exception") & (e["exception"].isNull() | e["status"].isNotNull()), "exception without a name")
+            .when(~F.coalesce(e["attempts"] >= 1, F.lit(False)), "no attempts")
+        )
+
+    # an array of one, so that the text is parsed once and not for each use
+    reason = F.when(text.isNotNull(), F.get(F.transform(F.array(F.from_json(text, ERROR_RECORD)), fault), F.lit(0)))
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 
 

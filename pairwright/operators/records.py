@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ RAW = (
 END = "</think>"
 
 
+def _once(value: Column, form: Callable[[Column], Column]) -> Column:
+    """``form`` of a value that is made once, also where a filter on the result moves below the projection that makes it."""
+    return F.get(F.transform(F.array(value), form), F.lit(0))
+
+
 def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -42,40 +49,48 @@ def record_findings(rows: DataFrame, alias: str, seed_base: int, key: str = "id"
     raw response: content, answer, end by length, tokens, thinking and the score against ``gold``. One with an error may hold none of them.
     A number that JSON doesn't know (NaN) makes a raw response unreadable; a null never equals a value.
     """
-    row = F.from_json("raw_response", RAW, {"allowNonNumericNumbers": "false"})
-    rows = rows.withColumn("_raw", row)
-    choice = F.get("_raw.choices", F.lit(0))
-    rows = rows.withColumns({"_choice": choice, "_content": F.coalesce(choice["message"]["content"], F.lit(""))})
-    rows = rows.withColumn("_scored", scoring_content(F.col("_content")))
-    held = F.col("_choice.message").isNotNull() & F.col("_raw.model").eqNullSafe(F.lit(alias))
+
+    # strict JSON at every depth, also where nothing else is read
+    readable = F.try_parse_json("raw_response").isNotNull()
 
     def differs(stored: str, told: Column) -> Column:
         return ~F.col(stored).eqNullSafe(told)
 
+    def named(checks: dict[str, Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()]))
+
+    def of_message(raw: Column) -> Column:
+        choice = F.get(raw["choices"], F.lit(0))
+        content, ours = F.coalesce(choice["message"]["content"], F.lit("")), raw["model"].eqNullSafe(F.lit(alias))
+        return F.struct(raw.alias("raw"), ours.alias("ours"), choice.alias("choice"), content.alias("content"), scoring_content(content).alias("scored"))
+
+    def of_answer(m: Column) -> Column:
+        return F.struct(*[m[c].alias(c) for c in ("raw", "ours", "choice", "content", "scored")], tx.gsm8k_answer(m["scored"]).alias("got"))
+
+    def verdicts(m: Column) -> Column:
+        sound = {
+            "content": differs("scoring_content", m["scored"]),
+            "answer": differs("parsed_answer", m["got"]),
+            "truncated": differs("truncated", F.coalesce(m["choice"]["finish_reason"] == "length", F.lit(False))),
+            "tokens": differs("completion_tokens", m["raw"]["usage"]["completion_tokens"]),
+            "thinking": differs("thinking_tokens", thinking_tokens(m["content"], m["choice"]["message"]["reasoning_content"])),
+            "correct": differs("correct", tx.same_number(m["got"], "gold")),
+        }
+        return F.when(readable & m["choice"]["message"].isNotNull() & m["ours"], named(sound)).otherwise(F.array(F.lit("raw")))
+
+    raw = F.from_json("raw_response", RAW, {"allowNonNumericNumbers": "false"})
     always = {
         "seed": ~F.col("sampler_seed").eqNullSafe(derived_seed(F.col("id"), seed_base)),
         "retry flag": ~F.col("retried").eqNullSafe(F.col("retry_error").isNotNull()),
         "retry error": ~error_contract(F.col("retry_error"))["ok"],
     }
-    sound = {
-        "content": differs("scoring_content", F.col("_scored")),
-        "answer": differs("parsed_answer", tx.gsm8k_answer("_scored")),
-        "truncated": differs("truncated", F.coalesce(F.col("_choice.finish_reason") == "length", F.lit(False))),
-        "tokens": differs("completion_tokens", F.col("_raw.usage.completion_tokens")),
-        "thinking": differs("thinking_tokens", thinking_tokens(F.col("_content"), F.col("_choice.message.reasoning_content"))),
-        "correct": differs("correct", tx.score_gsm8k("_scored", "gold")),
-    }
     failed = {
         "error": ~error_contract(F.col("api_error"))["ok"],
-        "raw": F.col("raw_response").isNotNull() & ~F.col("_raw.model").eqNullSafe(F.lit(alias)),
+        "raw": F.col("raw_response").isNotNull() & ~(readable & raw["model"].eqNullSafe(F.lit(alias))),
         "content": differs("scoring_content", F.lit("")),
         "answer": F.col("parsed_answer").isNotNull(),
         "correct": ~F.col("correct").eqNullSafe(F.lit(False)),
     }
-
-    def named(checks: dict[str, Column]) -> Column:
-        return F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()]))
-
-    answered = F.when(held, named(sound)).otherwise(F.array(F.lit("raw")))
+    answered = _once(_once(_once(raw, of_message), of_answer), verdicts)
     findings = F.concat(named(always), F.when(F.col("api_error").isNull(), answered).otherwise(named(failed)))
     return rows.select(key, findings.alias("findings"))

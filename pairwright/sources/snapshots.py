@@ -21,7 +21,8 @@ def _finite(field: Column) -> Column:
 def processor_rows(lines: DataFrame, strict: bool = True, line: str = "line") -> DataFrame:
     """``lines`` with the fields of each row and problem: ``fields`` (another number of them), ``number``, ``range`` (a share
     outside 0 to 100), null for a sound row. ``strict`` ends the query at the first problem, with the line."""
-    parts = F.transform(F.split(line, ","), lambda x: F.trim(x))
+    text = F.coalesce(line, F.lit(""))
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x))
     rows = lines.withColumn("_parts", parts)
     part = {name: F.get("_parts", F.lit(i)) for i, name in enumerate(FIELDS)}
     values = {name: _finite(part[name]) for name in NUMBERS}
@@ -32,7 +33,7 @@ def processor_rows(lines: DataFrame, strict: bool = True, line: str = "line") ->
     problem = F.when(F.size("_parts") != len(FIELDS), "fields").when(odd, "number")
     problem = problem.when(~values["utilization_percent"].between(0, 100), "range")
     if strict:
-        told = F.raise_error(F.concat(F.lit("malformed row ("), problem, F.lit("): "), F.col(line)))
+        told = F.raise_error(F.concat(F.lit("malformed row ("), problem, F.lit("): "), text))
         problem = F.when(problem.isNotNull(), told.cast("string"))
     rows = rows.withColumn("problem", problem)
     sound = F.col("problem").isNull()
