@@ -17,28 +17,26 @@ RAW = (
     "usage STRUCT<completion_tokens: BIGINT>"
 )
 END = "</think>"
+# Fixed value: what counts as white space, in code point order.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _once(value: Column, form: Callable[[Column], Column]) -> Column:
-    """``form`` of a value that is made once, also where a filter on the result moves below the projection that makes it."""
+    """``form`` of a value that is made once, however often ``form`` names it."""
     return F.get(F.transform(F.array(value), form), F.lit(0))
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def scoring_content(content: Column) -> Column:
     """What is scored of a message: what follows the end of the thinking, or all of it."""
     at = F.locate(END, content)
-    return _trimmed(F.when(at > 0, F.substring(content, at + len(END), F.length(content))).otherwise(content))
+    return F.btrim(F.when(at > 0, F.substring(content, at + len(END), F.length(content))).otherwise(content), F.lit(SPACE))
 
 
 def thinking_tokens(content: Column, reasoning: Column) -> Column:
     """1.3 tokens a word of the reasoning, which is a field of its own or stands before the end mark."""
     before = F.when(F.locate(END, content) > 0, F.substring_index(content, END, 1)).otherwise("")
     thought = F.when(F.coalesce(reasoning, F.lit("")) != "", reasoning).otherwise(before)
-    return F.floor(F.regexp_count(thought, F.lit(r"(?U)\S+")) * F.lit(1.3)).cast("bigint")
+    return F.floor(F.regexp_count(thought, F.lit(f"[^{SPACE}]+")) * F.lit(1.3)).cast("bigint")
 
 
 def record_findings(rows: DataFrame, alias: str, seed_base: int, key: str = "id") -> DataFrame:
@@ -93,4 +91,5 @@ def record_findings(rows: DataFrame, alias: str, seed_base: int, key: str = "id"
     }
     answered = _once(_once(_once(raw, of_message), of_answer), verdicts)
     findings = F.concat(named(always), F.when(F.col("api_error").isNull(), answered).otherwise(named(failed)))
-    return rows.select(key, findings.alias("findings"))
+    # as a generator's output it is made once a row: filters on it stay above
+    return rows.select(key, F.inline(F.array(F.struct(findings.alias("findings")))))

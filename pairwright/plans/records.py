@@ -67,7 +67,7 @@ def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("retry_error"),
         F.lit(False).alias("retried"),
         F.when(~lost, F.to_json(reply)).alias("raw_response"),
-        F.when(lost, F.when(n % 2 == 0, "x").otherwise("")).otherwise(F.regexp_replace("whole", r"^\s+|\s+$", "")).alias("scoring_content"),
+        F.when(lost, F.when(n % 2 == 0, "x").otherwise("")).otherwise(F.btrim("whole", F.lit(" \t\n\r\f"))).alias("scoring_content"),
         F.when(~lost & (i % 5 != 0), (n + i % 2).cast("double")).alias("parsed_answer"),
         (n > 3000).alias("truncated"),
         F.when(n % 11 != 3, tokens).alias("completion_tokens"),
