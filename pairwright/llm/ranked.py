@@ -13,7 +13,8 @@ above its lower bound. Each task keeps its k best by score and id, and Spark ran
 
 The number of documents and of terms, and the number of documents with a term, are counted over the whole
 index. Items are searched in blocks of at most ``MAX_ITEMS`` items and ``MAX_TERMS`` terms (or one item),
-so what a search broadcasts is bounded; all documents are read for each block. Terms are named by 64 bits of a hash.
+so what a search broadcasts is bounded; all documents are read for each block. A block of documents is a row of up to some
+megabytes; files are written and read, and rows passed to Python, ``GROUP_ROWS`` at a time. Terms are named by 64 bits of a hash.
 
 Edge cases: null and empty texts have no terms and are in no result; an item without terms, or whose terms
 no document has, has no rows; repeated items are items of their own; a null doc_id comes first among equal scores, and rows of the same id
@@ -33,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, extend, map_chunks, ordered, release, texts_of, written
+from .common import discard, extend, map_chunks, ordered, release, rows_a_batch, texts_of, written
 from .repeats import Hashes
 
 TOP = 10
 CHUNK = 4 << 20
 BLOCK_DOCS = 4096
+GROUP_ROWS = 2
 MAX_ITEMS = 512
 MAX_TERMS = 1 << 20
 #: An impact is below 10**6, so 255 steps hold it.
@@ -111,7 +113,7 @@ def build_index(docs: DataFrame) -> Index:
 
         return work
 
-    raw = written(map_chunks(docs.select("seq", "text"), make, _BLOCK, limit=CHUNK))
+    raw = written(map_chunks(docs.select("seq", "text"), make, _BLOCK, limit=CHUNK), GROUP_ROWS)
     n_docs, n_terms = raw.agg(F.coalesce(F.sum("held"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     schema = extend(raw.drop("held", "total").schema, "bytes binary")
 
@@ -124,7 +126,8 @@ def build_index(docs: DataFrame) -> Index:
                 level = pa.array([(-(-impact // STEP)).astype(np.uint8).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*row.columns, level], schema.fieldNames())
 
-    blocks = written(raw.drop("held", "total").mapInArrow(quantise, schema))
+    with rows_a_batch(docs.sparkSession, GROUP_ROWS):
+        blocks = written(raw.drop("held", "total").mapInArrow(quantise, schema), GROUP_ROWS)
     discard(raw)
     release(docs)
     return Index(blocks, n_docs, n_terms)
@@ -277,14 +280,16 @@ def search(index: Index, items: DataFrame, k: int = TOP, max_items: int = MAX_IT
         lows = level.mapInArrow(_lower_bounds(queries, k), "item int, low bigint")
         kth = lows.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("low")))).where(F.col("r") <= k)
         least = np.zeros(len(rows), dtype=np.int64)
-        for item, low in kth.where(F.col("r") == k).select("item", "low").collect():
-            least[item] = low
+        with rows_a_batch(spark, GROUP_ROWS):
+            for item, low in kth.where(F.col("r") == k).select("item", "low").collect():
+                least[item] = low
         best = index.blocks.mapInArrow(_rescored(queries, least, k, index.n_docs, index.n_terms), "item int, seq bigint, score bigint")
         rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "seq"))
         best = best.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)
         number = spark.createDataFrame([(i, r.q) for i, r in enumerate(rows)], "item int, q bigint")
         named = best.join(F.broadcast(number), "item").select("q", "rank", "seq", "score")
-        results.append(written(named.join(block.select("q", "item_id"), "q").select("item_id", "rank", "seq", "score")))
+        with rows_a_batch(spark, GROUP_ROWS):
+            results.append(written(named.join(block.select("q", "item_id"), "q").select("item_id", "rank", "seq", "score")))
     if not results:
         return items.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("score")).limit(0)
     return reduce(DataFrame.unionAll, results)

@@ -1,12 +1,15 @@
 import math
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright.llm import ranked
-from pairwright.llm.common import ordered
+from pairwright.llm.common import ordered, rows_a_batch
 
 from .messy import documents, empty_documents, prose, texts
 
@@ -91,3 +94,18 @@ def test_bounds_hold_and_cut(spark):
 def test_no_documents_and_no_items(spark):
     assert ranked.rank_documents(empty_documents(spark), bench(spark, ITEMS)).count() == 0
     assert ranked.rank_documents(documents(spark), bench(spark, [])).count() == 0
+
+
+def test_blocks_are_held_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ranked, "CHUNK", 1)  # a block a document
+    index = ranked.build_index(ordered(documents(spark, DOCS)).coalesce(1))
+    files = list(Path(index.blocks.written_path.removeprefix("file:")).glob("*.parquet"))
+    held = [m.row_group(g).num_rows for m in map(pq.read_metadata, files) for g in range(m.num_row_groups)]
+    assert sum(held) > 50 and max(held) <= ranked.GROUP_ROWS
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    with rows_a_batch(spark, ranked.GROUP_ROWS):
+        assert max(r.n for r in index.blocks.mapInArrow(sizes, "n bigint").collect()) <= ranked.GROUP_ROWS
