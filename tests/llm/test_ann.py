@@ -67,3 +67,18 @@ def test_distance_tables_equal_decoded_vectors():
     rows = np.flatnonzero(cell == cell[0])
     decoded = np.concatenate([w[codes[rows, m]] for m, w in enumerate(index.codewords)], axis=1) + index.centroids[cell[0]]
     assert np.allclose(index.approximate(x[:5], int(cell[0]), codes[rows]), x[:5] @ decoded.T)
+
+
+def test_recall_of_queries_unlike_the_other_rows(spark):
+    g = np.random.default_rng(1)
+    centres = g.normal(size=(45, 16))
+    x = centres[g.integers(0, 45, 2000)] + 0.05 * g.normal(size=(2000, 16))
+    x[::20] = g.normal(size=(100, 16))
+    scores = x[::20] @ x.T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[20 * i] & set(best)) / 20 for i, best in enumerate(want.tolist())]) >= 0.95
