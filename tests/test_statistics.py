@@ -3,6 +3,7 @@ import random
 import time
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,3 +190,20 @@ def test_sign_flips_in_floating_point_equal_whole_numbers(seed, monkeypatch):
     monkeypatch.setattr(S, "EXACT_WORK", -1)
     assert S.sign_flip_exact(sums) == pytest.approx(exact, rel=1e-15)
     assert S.sign_flip_exact([1] * 900) == pytest.approx(2.0**-899, rel=1e-15)
+
+
+@pytest.mark.parametrize("sums", [[4, 6, 6, 10] * 30, [3] * 301, [1, 1000] * 40, list(range(1, 120)), [5, 5, 7], [2]])
+def test_sign_flips_inverted_equal_counted(sums, monkeypatch):
+    sizes, times = (x.tolist() for x in np.unique(sums, return_counts=True))
+    for observed in {1, sum(sums) // 20, sum(sums) // 3, sum(sums) * 9 // 10, sum(sums) - 1, sum(sums)}:
+        want = S.sign_flip_counts(sizes, times, observed)
+        with monkeypatch.context() as m:
+            m.setattr(S, "COUNTED_WORK", 0)
+            assert S.sign_flip_counts(sizes, times, observed) == pytest.approx(want, rel=1e-11)
+
+
+def test_sign_flips_of_many_clusters_take_no_quadratic_time():
+    start = time.perf_counter()
+    assert S.sign_flip_counts([1, 3, 7, 67], [1 << 18] * 4, 80_000) == pytest.approx(math.erfc(80_000 / math.sqrt(2 * 4548 * 2**18)), rel=0.01)
+    assert S.sign_flip_counts([1, 3, 7, 67], [1 << 18] * 4, 1 << 24) == 0.0
+    assert time.perf_counter() - start < 20
