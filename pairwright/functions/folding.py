@@ -5,8 +5,10 @@ from __future__ import annotations
 import sys
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's str methods see it.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
@@ -35,9 +37,15 @@ def casefold(text: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.when(low.rlike(rare), full).otherwise(sharp)).otherwise(low)
 
 
+@F.pandas_udf(StringType())
+def _normalized(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else " ".join(x.casefold().split()))
+
+
 def normalized(text: Column) -> Column:
-    """Case folded, white space as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(casefold(text), SPACE, " "))
+    """Case folded, white space as single spaces, none at the ends. Python's own methods take a small part of the time of
+    ``casefold`` and a regular expression; what uses the form more than once should write it first."""
+    return _normalized(text)
 
 
 def survival_form(text: Column, marks: str = MARKS) -> Column:

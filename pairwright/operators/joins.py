@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairwright.functions.folding import normalized
+from pairwright.session import scratch
 
 GRAM = 25
 STRIDE = 24
@@ -61,6 +62,13 @@ def _with_texts(
     return large.select(large_id, F.col(large_text).alias("_large")).join(F.broadcast(pairs) if few else pairs, large_id)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder: what follows reads their columns rather than computing them anew."""
+    path = scratch(rows.sparkSession, "texts") + "/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def contains_join(
     small: DataFrame,
     large: DataFrame,
@@ -72,19 +80,22 @@ def contains_join(
 ) -> DataFrame:
     """Pairs where the large text contains the whole small one, which isn't empty, both in the given form (as they are without one).
 
-    Items of 48 characters or more are found by grams and verified exactly. Shorter ones of any length are found by an
+    Items of 48 characters or more are found by grams and verified exactly, if they are many. Others of any length are found by an
     automaton of all of them, in one pass over each text; where they come to more than ``AUTOMATON_CHARS``
     characters, there are several automata, by hash, and a pass for each.
     """
     sides = small_id, large_id, small_text, large_text
     if form is not None:
-        small = small.select(small_id, form(F.col(small_text)).alias(small_text))
-        large = large.select(large_id, form(F.col(large_text)).alias(large_text))
+        small = _once(small.select(small_id, form(F.col(small_text)).alias(small_text)))
+        large = _once(large.select(large_id, form(F.col(large_text)).alias(large_text)))
     held = small.where(F.char_length(small_text) > 0)
     long = held.where(F.char_length(small_text) >= GRAM + STRIDE - 1)
-    found = _with_texts(leak_candidates(long, large, *sides), long, large, *sides)
-    found = found.where(F.contains("_large", F.col("_small"))).select(small_id, large_id)
-    short = held.where(F.char_length(small_text) < GRAM + STRIDE - 1)
+    if (long.agg(F.sum(F.char_length(small_text))).first()[0] or 0) > AUTOMATON_CHARS:
+        found = _with_texts(leak_candidates(long, large, *sides), long, large, *sides)
+        found = found.where(F.contains("_large", F.col("_small"))).select(small_id, large_id)
+        short = held.where(F.char_length(small_text) < GRAM + STRIDE - 1)
+    else:
+        found, short = small.crossJoin(large.select(large_id)).select(small_id, large_id).limit(0), held
     texts = short.select(F.col(small_text).alias("_x")).distinct()
     blocks = -(-(texts.agg(F.sum(F.char_length("_x"))).first()[0] or 0) // AUTOMATON_CHARS)
     for block in range(blocks):
@@ -125,8 +136,8 @@ def leak_audit(private: DataFrame, public: DataFrame, private_id: str, public_id
     if it has 20 characters, or 12 and a digit or three words; what is shorter still says nothing.
     """
     sides = private_id, public_id, private_text, public_text
-    private = private.select(private_id, normalized(F.col(private_text)).alias(private_text))
-    public = public.select(public_id, normalized(F.col(public_text)).alias(public_text))
+    private = _once(private.select(private_id, normalized(F.col(private_text)).alias(private_text)))
+    public = _once(public.select(public_id, normalized(F.col(public_text)).alias(public_text)))
     chars, x = F.char_length(private_text), F.col(private_text)
     telling = (chars >= 20) | ((chars >= 12) & (x.rlike(r"\p{Nd}") | (F.size(F.split(x, " ")) >= 3)))
     whole = contains_join(private.where((chars < size) & telling), public, *sides).withColumn("kind", F.lit("whole"))

@@ -119,3 +119,12 @@ def test_early_exit(segments, rule, want):
 def test_the_query_meets_several_ends(spark):
     found = {r.exit for r in sequences.early_exits(spark, "/root/testdata/sf0.01").select("exit").distinct().collect()}
     assert {"early_exit", "natural", "eos"} <= found
+
+
+def test_normal_forms_are_computed_once(spark):
+    items = spark.createDataFrame([(1, "GRÜSSE an die  ganze Straße"), (2, "x" * 60)], "i int, x string")
+    docs = spark.createDataFrame([(7, "oh, grüße AN die ganze\tSTRASSE!"), (8, None), (9, "y" + "X" * 60)], "d int, y string")
+    for found in (joins.leak_audit(items, docs, "i", "d", "x", "y"), joins.contains_join(items, docs, "i", "d", "x", "y", form=survival_form)):
+        plan = found._jdf.queryExecution().toString()
+        assert "_normalized" not in plan and "regexp_replace" not in plan
+        assert sorted((r.i, r.d) for r in found.collect()) == [(1, 7), (2, 9)]
