@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,36 @@ def test_quarantine_keeps_open_intents_from_running_again(spark):
     assert [tuple(r) for r in journal.quarantine(rows, ["k"], intent, end).collect()] == [(2, 2)]
     planned = spark.createDataFrame([(k,) for k in range(1, 6)], "k bigint")
     assert sorted(r.k for r in journal.still_due(planned, rows, ["k"], intent, end).collect()) == [4, 5]
+
+
+def test_a_key_without_events_sends_no_frame():
+    class Handle:
+        held = None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+        def registerTimer(self, at):
+            self.timer = at
+
+        deleteTimer = registerTimer
+
+    gate, handle = gates.Gate(2, 1000), Handle()
+    gate.init(handle)
+    frame = pd.DataFrame([(1, None, 5, True, 100)], columns=gates.COLUMNS)
+    assert list(gate.handleInputRows((1,), iter([frame]), None)) == [] and handle.held == (1, 100)
+    later = pd.DataFrame([(1, None, 9, False, 300), (1, None, 7, True, 200)], columns=gates.COLUMNS)
+    (out,) = gate.handleInputRows((1,), iter([later]), None)
+    assert out.values.tolist() == [[1, 200, "open", 2]] and handle.held is None
