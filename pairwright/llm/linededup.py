@@ -9,7 +9,7 @@ filters drop pairs that cannot reach the overlap; so does a
 parity bitmap of the words (64 bits, 128 for sets over ``SHORT`` words), whose differing
 bits are at most the differing words; pairs left are verified on the words themselves.
 
-Texts are cut into words once, into a table of word hashes that is deleted when the sets are made.
+Texts are cut into words once; the word hashes stay on the executors' disks until the sets are made.
 Rarity is the number of lines that hold a word, counted in ``2**BUCKET_BITS`` hash buckets, a table
 of fixed size that goes into the plan; it orders words only, so sharing a bucket costs speed,
 never a match. Equal sets are one node with its first line. A word in the prefix
@@ -28,12 +28,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, written
 
 BUCKET_BITS = 18
+#: Counters of neighbouring buckets that one group holds: few groups fit the fast map of a partial aggregate.
+SIDE = 4
 HOT = 256
 SAMPLED = 4
 BITMAP_BITS = 23
@@ -83,9 +86,9 @@ def _constant(df: DataFrame, value: object, kind: str) -> Column:
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """doc, row, line_no and the hashes of the distinct words of every line, as a table."""
+    """doc, row, line_no and the hashes of the distinct words of every line, kept on disk: the first job that reads it makes it."""
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    return written(_lines(docs).select("doc", "row", "line_no", hashes.alias("hashes")))
+    return _lines(docs).select("doc", "row", "line_no", hashes.alias("hashes")).persist(StorageLevel.DISK_ONLY)
 
 
 def _rarity_table(hashed: DataFrame) -> Column:
@@ -94,11 +97,18 @@ def _rarity_table(hashed: DataFrame) -> Column:
     A code's top byte is a class from 0 (rare) to 127 by the lines that hold the bucket's words; 56 bits of the hash follow.
     """
     spark, size = hashed.sparkSession, 1 << BUCKET_BITS
+    bucket = F.shiftrightunsigned("word", 64 - BUCKET_BITS).cast("int")
+    words = hashed.select(F.explode("hashes").alias("word")).select(
+        bucket.bitwiseAND(F.lit(SIDE - 1)).alias("side"), F.shiftright(bucket, SIDE.bit_length() - 1).alias("group")
+    )
+    groups = words.groupBy("group").agg(*[F.count_if(F.col("side") == k).alias(f"n{k}") for k in range(SIDE)])
     counts = (
-        hashed.select(F.explode("hashes").alias("word"))
-        .groupBy(F.shiftrightunsigned("word", 64 - BUCKET_BITS).cast("int").alias("bucket"))
-        .agg(F.count("*").alias("n"))
-        .select("bucket", F.least(F.lit(127), F.floor(F.log2("n") * 4)).cast("int").alias("rank"))
+        groups.select("group", F.posexplode(F.array(*[f"n{k}" for k in range(SIDE)])).alias("side", "n"))
+        .where("n > 0")
+        .select(
+            (F.col("group") * SIDE + F.col("side")).alias("bucket"),
+            F.least(F.lit(127), F.floor(F.log2("n") * 4)).cast("int").alias("rank"),
+        )
     )
     # the table is assembled in pieces of 512 buckets; its size never changes
     every = spark.range(size).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
@@ -271,23 +281,31 @@ def _near(nodes: DataFrame, docs: DataFrame, order: Order, hot: int) -> DataFram
     return settled.unionAll(late).distinct()
 
 
+@dataclass
+class Lines:
+    """The table of all lines, and those of them that go (doc, row, line_no, exact)."""
+
+    every: DataFrame
+    gone: DataFrame
+
+
 def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line_no and exact (a repeat of the same set) of every removed line of ``docs`` (doc_id, text)."""
     docs = _keyed(docs.select("doc_id", "text"))
-    gone = _removed(docs, hot).select(F.col("doc").alias("gone"), F.col("row").alias("gone_row"), "line_no", "exact")
+    gone = _removed(docs, hot).gone.select(F.col("doc").alias("gone"), F.col("row").alias("gone_row"), "line_no", "exact")
     same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
     return gone.join(docs, same).select("in.doc_id", "line_no", "exact")
 
 
-def _removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, row, line_no and exact of every removed line, for rows from ``_keyed``."""
+def _removed(docs: DataFrame, hot: int = HOT) -> Lines:
+    """The lines of rows from ``_keyed``."""
     docs = docs.select("doc", "row", "text")
     hashed = _hashed(docs)
     codes = hashed.select("doc", "row", "line_no", "hashes", _rarity_table(hashed).alias("ranks"))
     codes = codes.select("doc", "row", "line_no", _codes(F.col("hashes"), F.col("ranks")).alias("codes"))
     n, none = F.size("codes"), F.lit(0).cast("long")
     # lines without words are dropped after the write: a filter here would make every line's codes twice
-    lines = written(
+    every = written(
         codes.select(
             "doc",
             "row",
@@ -301,31 +319,34 @@ def _removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1), lambda c: F.hash(c)
             ).alias("prefix"),
         )
-    ).where("n > 0")
-    discard(hashed)
+    )
+    lines = every.where("n > 0")
+    hashed.unpersist()
     order = _order(lines)
     nodes = written(lines.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min(order.line).alias("id")))
     release(docs)
     near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "more_bits", "prefix"), docs, order, hot)
-    marked = nodes.select("k1", "k2", "id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
-    every = lines.select("doc", "row", "line_no", "k1", "k2", order.line.alias("own")).join(marked, ["k1", "k2"])
-    return every.where((F.col("own") != F.col("id")) | F.col("near")).select(
-        "doc", "row", "line_no", (F.col("own") != F.col("id")).alias("exact")
-    )
+    # one line of each set is its node; the others repeat it
+    own = lines.select("doc", "row", "line_no", order.line.alias("own"))
+    marked = nodes.select("id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
+    gone = own.join(marked, F.col("own") == F.col("id"), "left").where(F.col("id").isNull() | F.col("near"))
+    return Lines(every, gone.select("doc", "row", "line_no", F.col("id").isNull().alias("exact")))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_kept and removed_sha256 (removed line numbers, sorted, comma-joined)."""
     docs = _keyed(docs.select("doc_id", "text"))
-    gone = _removed(docs).groupBy(F.col("doc").alias("gone"), F.col("row").alias("gone_row")).agg(
+    lines = _removed(docs)
+    gone = lines.gone.groupBy(F.col("doc").alias("gone"), F.col("row").alias("gone_row")).agg(
         F.count_if("exact").alias("n_exact"),
         F.count_if(~F.col("exact")).alias("n_near"),
         F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("numbers"),
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
-    rows = docs.select("in.doc_id", "doc", "row", n_lines.alias("n_lines")).join(gone, same, "left")
+    # every row has a line, if only an empty one
+    held = lines.every.groupBy(F.col("doc").alias("held"), F.col("row").alias("held_row")).agg(F.count("*").alias("n_lines"))
+    whole = F.col("doc").eqNullSafe(F.col("held")) & (F.col("row") == F.col("held_row"))
+    rows = docs.select("in.doc_id", "doc", "row").join(held, whole).join(gone, same, "left")
     zero = F.lit(0).cast("long")
     return rows.select(
         "doc_id",
@@ -341,7 +362,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without removed lines in ``text``. Every document stays, if only with an empty text; n_chars, if there, is recounted."""
     names, kinds = docs.columns, docs.schema
     docs = _keyed(docs)
-    gone = _removed(docs).groupBy(F.col("doc").alias("gone"), F.col("row").alias("gone_row"))
+    gone = _removed(docs).gone.groupBy(F.col("doc").alias("gone"), F.col("row").alias("gone_row"))
     gone = gone.agg(F.collect_set("line_no").alias("numbers"))
     same = F.col("doc").eqNullSafe(F.col("gone")) & (F.col("row") == F.col("gone_row"))
     rows = docs.join(gone, same, "left")

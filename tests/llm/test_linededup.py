@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -125,3 +126,28 @@ def test_rows_of_the_same_id_are_told_apart(spark):
         assert kept.count(line) == 1
     report = [r for r in linededup.line_report(docs).collect() if r.doc_id == 12]
     assert sorted((r.n_exact, r.n_kept) for r in report) == [(0, 1), (1, 0)]
+
+
+def test_the_report_reads_texts_no_more_and_keeps_no_hashes(spark, tmp_path):
+    documents(spark).write.parquet(f"{tmp_path}/documents")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    report = linededup.line_report(spark.read.parquet(f"{tmp_path}/documents"))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and not re.search(r"ReadSchema: .*\btext:", plan)
+    got = sorted((str(r.doc_id), r.n_lines) for r in report.collect())
+    assert got == sorted((str(i), (t or "").count("\n") + 1) for i, t in texts())
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_rarity_counts_every_word(spark):
+    shift = 64 - linededup.BUCKET_BITS
+    # word of bucket b, in as many lines as named
+    many = {0: 1, 1: 5, 2: 64, 3: 2, 4: 9, (1 << linededup.BUCKET_BITS) - 1: 16, (1 << linededup.BUCKET_BITS) - 2: 3}
+    words = {b: (b << shift) - (1 << 64 if b >= 1 << (linededup.BUCKET_BITS - 1) else 0) for b in many}
+    rows = [([words[b] for b in many if many[b] > k],) for k in range(max(many.values()))]
+    hashed = spark.createDataFrame(rows, "hashes array<bigint>")
+    codes = spark.createDataFrame([(list(words.values()),)], "hashes array<bigint>").select(
+        "hashes", linededup._rarity_table(hashed).alias("ranks")
+    )
+    got = codes.select(linededup._codes(F.col("hashes"), F.col("ranks")).alias("codes")).first().codes
+    assert [c >> 56 for c in got] == sorted(int(4 * math.log2(n)) for n in many.values())
