@@ -26,6 +26,7 @@ compared whole; an empty table gives an empty result; columns of any name stay.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -129,7 +130,7 @@ def _codes(hashes: Column, ranks: Column) -> Column:
     """
 
     def code(h: Column) -> Column:
-        mask = F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
+        mask = F.get(ranks, F.shiftrightunsigned(h, 64 - BUCKET_BITS))
         # never null, so that arrays of codes are sorted as plain longs
         return F.coalesce(mask.bitwiseXOR(h), F.lit(0).cast("long"))
 
@@ -216,7 +217,8 @@ def _order(lines: DataFrame) -> Order:
 
 
 def _places(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "n", "bits", "more_bits", F.posexplode("prefix").alias("pos", "word"))
+    rows = nodes.select("id", "n", "bits", "more_bits", F.posexplode("prefix").alias("pos", "code"))
+    return rows.select("id", "n", "bits", "more_bits", "pos", F.hash("code").alias("word"))
 
 
 def _sides(rows: DataFrame, side: str) -> DataFrame:
@@ -226,12 +228,12 @@ def _sides(rows: DataFrame, side: str) -> DataFrame:
 def _hot_words(nodes: DataFrame, hot: int) -> DataFrame:
     """Words that stand in the prefixes of about ``hot`` nodes or more, from every ``SAMPLED``-th node.
 
-    This only chooses how a word's nodes are compared; either way finds all matches.
+    A word's class bounds its lines from above, so those of the classes below aren't counted. This
+    only chooses how a word's nodes are compared; either way finds all matches.
     """
-    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    return written(
-        _places(some).groupBy("word").agg(F.count("*").alias("held")).where(F.col("held") * SAMPLED > hot).select("word")
-    )
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode("prefix").alias("code"))
+    words = some.where(F.shiftright("code", 56) >= min(127, int(4 * math.log2(hot)))).select(F.hash("code").alias("word"))
+    return written(words.groupBy("word").agg(F.count("*").alias("held")).where(F.col("held") * SAMPLED > hot).select("word"))
 
 
 def _reach() -> Column:
@@ -297,39 +299,40 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return gone.join(docs, same).select("in.doc_id", "line_no", "exact")
 
 
+def _nodes(hashed: DataFrame, ranks: Column, order: Order) -> DataFrame:
+    """The sets of the lines with words, each with its first line (id); codes go from the hashes into the groups unwritten."""
+    # by the size of the hashes: a filter by that of the codes would make them twice
+    codes = hashed.where(F.size("hashes") > 0).select(order.line.alias("id"), "hashes", ranks.alias("ranks"))
+    codes = codes.select("id", _codes(F.col("hashes"), F.col("ranks")).alias("codes"))
+    n, none = F.size("codes"), F.lit(0).cast("long")
+    sets = codes.select(
+        "id",
+        n.alias("n"),
+        F.xxhash64("codes").alias("k1"),
+        F.xxhash64("codes", F.lit(1)).alias("k2"),
+        F.aggregate("codes", none, _flip).alias("bits"),
+        F.when(n > SHORT, F.aggregate("codes", none, _flip_half)).alias("more_bits"),
+        F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1).alias("prefix"),
+    )
+    return written(sets.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min("id").alias("id")))
+
+
 def _removed(docs: DataFrame, hot: int = HOT) -> Lines:
     """The lines of rows from ``_keyed``."""
     docs = docs.select("doc", "row", "text")
     hashed = _hashed(docs)
-    codes = hashed.select("doc", "row", "line_no", "hashes", _rarity_table(hashed).alias("ranks"))
-    codes = codes.select("doc", "row", "line_no", _codes(F.col("hashes"), F.col("ranks")).alias("codes"))
-    n, none = F.size("codes"), F.lit(0).cast("long")
-    # lines without words are dropped after the write: a filter here would make every line's codes twice
-    every = written(
-        codes.select(
-            "doc",
-            "row",
-            "line_no",
-            n.alias("n"),
-            F.xxhash64("codes").alias("k1"),
-            F.xxhash64("codes", F.lit(1)).alias("k2"),
-            F.aggregate("codes", none, _flip).alias("bits"),
-            F.when(n > SHORT, F.aggregate("codes", none, _flip_half)).alias("more_bits"),
-            F.transform(
-                F.slice("codes", 1, n - F.ceil(n * F.lit(0.8) - F.lit(1e-9)).cast("int") + 1), lambda c: F.hash(c)
-            ).alias("prefix"),
-        )
-    )
+    ranks = _rarity_table(hashed)
+    every = written(hashed.select("doc", "row", "line_no", F.size("hashes").alias("n")))
     lines = every.where("n > 0")
-    hashed.unpersist()
     order = _order(lines)
-    nodes = written(lines.groupBy("k1", "k2", "n", "bits", "more_bits", "prefix").agg(F.min(order.line).alias("id")))
+    nodes = _nodes(hashed, ranks, order)
+    hashed.unpersist()
     release(docs)
     near = _near(nodes.where(F.col("n") >= LEAST).select("id", "n", "bits", "more_bits", "prefix"), docs, order, hot)
     # one line of each set is its node; the others repeat it
     own = lines.select("doc", "row", "line_no", order.line.alias("own"))
     marked = nodes.select("id").join(near.select(F.col("b").alias("id"), F.lit(True).alias("near")), "id", "left")
-    gone = own.join(marked, F.col("own") == F.col("id"), "left").where(F.col("id").isNull() | F.col("near"))
+    gone = own.join(marked.hint("shuffle_hash"), F.col("own") == F.col("id"), "left").where(F.col("id").isNull() | F.col("near"))
     return Lines(every, gone.select("doc", "row", "line_no", F.col("id").isNull().alias("exact")))
 
 

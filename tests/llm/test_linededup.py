@@ -151,3 +151,21 @@ def test_rarity_counts_every_word(spark):
     )
     got = codes.select(linededup._codes(F.col("hashes"), F.col("ranks")).alias("codes")).first().codes
     assert [c >> 56 for c in got] == sorted(int(4 * math.log2(n)) for n in many.values())
+
+
+def test_sets_are_grouped_before_they_are_written(spark, monkeypatch):
+    made, write = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df: made.append(df.columns) or write(df))
+    rows = texts()
+    got = {}
+    for r in linededup.removed_lines(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.line_no, r.exact))
+    assert {k: sorted(v) for k, v in got.items()} == lines_by_id(rows, brute(rows))
+    assert [c for c in made if "line_no" in c] == [["doc", "row", "line_no", "n"]]
+
+
+def test_words_of_low_classes_are_not_hot(spark):
+    low, high = int(4 * math.log2(256)) - 1 << 56, int(4 * math.log2(256)) << 56
+    nodes = spark.range(2000).select("id", F.array(F.lit(low).cast("long"), F.lit(high).cast("long")).alias("prefix"))
+    want = spark.range(1).select(F.hash(F.lit(high).cast("long")).alias("word")).collect()
+    assert linededup._hot_words(nodes, 256).collect() == want
