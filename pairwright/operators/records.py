@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import text as tx
 from pairwright.functions.arrays import derived_seed
+from pairwright.functions.folding import SPACE
 from pairwright.operators.claims import error_contract
 
 #: DDL of what is read of a raw response.
@@ -17,8 +18,6 @@ RAW = (
     "usage STRUCT<completion_tokens: BIGINT>"
 )
 END = "</think>"
-# Fixed value: what counts as white space, in code point order.
-SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _once(value: Column, form: Callable[[Column], Column]) -> Column:

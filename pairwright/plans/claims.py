@@ -653,12 +653,15 @@ WHERE length(question) BETWEEN 13 AND 500 AND length(answer) BETWEEN 2 AND 80 AN
 """)
 def verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions and answers of a reply that stand in the text they are about: short enough, and word for word."""
-    words = F.filter(F.split("text", r"[ \n]+"), lambda x: x != "")
+    # the first three words and what follows them
+    words = F.filter(F.split(F.ltrim("text", F.lit(" \n")), r"[ \n]+", 4), lambda x: x != "")
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("w", words).where(F.size("w") >= 3)
-    third, k = F.col("w")[2], F.col("conv_id") % 3
+    one, two, third = [F.get("w", F.lit(i)) for i in range(3)]
+    k = F.col("conv_id") % 3
     second = F.when(k == 0, F.concat(F.upper(third), F.lit("X"))).when(k == 1, third).otherwise(F.concat(third, F.lit(" nowhere at all")))
-    reply = F.concat(
-        F.lit("Here.\nQ1: what stands at "), F.col("turn").cast("string"), F.lit(" of it?\nA1:  "), F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit("\nQ2 : and what comes then? \nA2: "), second
-    )
-    rows = rows.withColumn("pairs", tx.verified_pairs(reply, F.col("text")))
-    return rows.select("conv_id", "turn", F.inline("pairs"))
+    # without a turn there is no first question, but the second one stays
+    first = F.coalesce(F.concat(F.lit("what stands at "), F.col("turn").cast("string"), F.lit(" of it?")), F.lit(""))
+    reply = F.concat(F.lit("Here.\nQ1: "), first, F.lit("\nA1:  "), one, F.lit(" "), two, F.lit("\nQ2 : and what comes then? \nA2: "), second)
+    # words end at spaces and line ends alone, and may be nothing but marks, as in the SQL; a named column of pairs would be
+    # made again for the filters that the optimizer infers from it, before the one on the number of words
+    return rows.select("conv_id", "turn", F.inline(tx.verified_pairs(reply, F.col("text"), space=" \n", marks="")))

@@ -2,14 +2,22 @@
 
 import hashlib
 import math
+import os
+import random
+import re
 import struct
 
 from pyspark.sql import functions as F
 
 from pairwright.functions import text as tx
 from pairwright.operators import claims
+from pairwright.plans import catalog
 from pairwright.sources.readers import verify_log
 
+from .oracle import TABLES, assert_same
+
+DATA = "/root/testdata/sf0.001"
+
 
 def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
@@ -104,6 +112,61 @@ def test_question_pairs_need_both_lines(spark):
     assert [tuple(r) for r in got] == [(1, "first?", "one"), (3, "third?", "three")]
 
 
+def slow_pairs(reply, source):
+    """The pairs by Python's own methods, with the source's normal form held against the answer's."""
+
+    def form(value):
+        return re.sub(r"\s+", " ", value.casefold()).strip().strip("\"'`.,:;")
+
+    found = []
+    for n, (question, answer) in enumerate(re.findall(r"Q\d\s*:\s*(.+?)\s*\nA\d\s*:\s*(.+?)(?:\n|$)", reply)[:2], 1):
+        question, answer = question.strip(), answer.strip()
+        sound = 13 <= len(question) <= 500 and 2 <= len(answer) <= 80 and len(answer.split()) <= 8 and form(answer)
+        if sound and answer in source and form(answer) in form(source):
+            found.append((n, question, answer))
+    return found
+
+
+def test_verified_pairs_are_pythons(spark):
+    rng = random.Random(4)
+    gaps = ["", "", " ", "\n", "\r\n", "\t", "\xa0", "\u2028", "\x1c ", "  "]
+    words = ["ΑΣ", "Straße", "ﬁx", "İ", "...", "'", '"so"', "x", "one", "Q1:", "A2: ", "😀", "w" * 30, "b;"]
+
+    def gap():
+        return rng.choice(gaps)
+
+    rows = []
+    for _ in range(1500):
+        source = "".join(rng.choice(words) + rng.choice(gaps[2:]) for _ in range(rng.randrange(14)))
+        reply = gap() + "Well."
+        for n in range(rng.randrange(4)):
+            at, size = rng.randrange(len(source) or 1), rng.choice([1, 2, 5, 9, 20, 82])
+            answer = source[at : at + size] if rng.random() < 0.9 else "nowhere"
+            question = rng.choice(["and what comes then?", "is it what it was?", "too short", "q" * 501, ""])
+            mark = rng.choice(["1", "٢", "12"]) if rng.random() < 0.2 else str(n)
+            line = rng.choice(["\n", "\n", "\r\n", "\t\n", " \n", "\n\n", ""])
+            reply += f"{rng.choice([chr(10), gap()])}Q{mark}{gap()}:{gap()}{question}{line}A{mark}{gap()}:{gap()}{answer}{gap()}"
+        rows.append((len(rows), reply, source))
+    rows += [(len(rows), "Q1: and what comes then?\nA1: it\n", None), (len(rows) + 1, None, "it")]
+    df = spark.createDataFrame(rows, "i int, r string, s string").select("i", F.inline(tx.verified_pairs("r", "s")))
+    want = [(i, *pair) for i, r, s in rows if r is not None and s is not None for pair in slow_pairs(r, s)]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and len(want) > 200
+    assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verified_pairs_of_odd_texts_equal_sql(spark, tmp_path):
+    texts = [
+        None, "", "  ", "two words", "\tone two\tTWO TWO\tX", "one\r\ntwo three\r", "so it ... goes", "' ' ''", "\xa0a\u2028b c\x1c d", "a b c C CX", "a b c nowhere at all",
+        "Q1: A1: Q2 : A2: x", "one  two three", "one\ntwo three", "w" * 79 + " v w", "w" * 78 + " v w", "a " + "\t".join("bcdefghijk") + " \tk", "😀 😀 😀😀",
+    ]
+    rows = [(conv, turn, "user", text) for text in texts for conv in (-1, 0, 1, 2, None) for turn in (1, None, 10**18)]
+    for name in TABLES:
+        if name != "conversations":
+            os.symlink(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert_same(catalog.QUERIES["verified_pairs"](spark, str(tmp_path)), catalog.ORACLE_SQL["verified_pairs"], str(tmp_path))
+
+
 def test_error_records(spark):
     texts = [None, "", '{"kind":"http","status":503,"attempts":1}', '{"kind":"http","status":503,"exception":"E","attempts":1}', '{"kind":"exception","exception":"E","attempts":0}', '{"kind":"x"}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
